@@ -34,13 +34,15 @@ END_ID = 1
 LINEAR = 1.0
 QUADRATIC = 1.0 / SEQUENCE
 WINDOW_TOKENS = 4_000_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, piece_cost double"
 
-#: One word of unaccented or Latin-1 letters (lower-cased A-Z), then ASCII signs: such a
-#: chunk is one pre-token of letters and at most one of signs, whatever stands around it.
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+#: Chunks, one a line, of unaccented or Latin-1 letters and then ASCII signs: such a chunk is
+#: one pre-token of letters and at most one of signs, whatever stands around it.
+_PLAIN = re.compile(rb"^((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)$", re.M)
+#: Texts with this may name a special token, which is told by its case.
+_SPECIAL = b"<|"
 
 
 def tokenizer_path() -> str:
@@ -58,9 +60,13 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for lists of lower-cased words of Latin-1 letters: nothing to normalise
+        self.by_space = Tokenizer.from_file(path)
+        self.by_space.normalizer = normalizers.Sequence([])
+        self.by_space.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -73,7 +79,7 @@ class WordEncoder:
     def _learn_words(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 1024):
             part = words[at : at + 1024]
-            ids = np.array(self._ids([b" ".join(part).decode()])[0], "<u4")
+            ids = np.array(self.by_space.encode_batch_fast([b" ".join(part).decode().lower()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 raw, begin = ids.tobytes(), 0
@@ -85,26 +91,21 @@ class WordEncoder:
                     self.words[word] = np.array(own, "<u4").tobytes()
 
     def _learn(self, chunks: set[bytes]) -> None:
-        plain, other, words, signs = [], [], set(), set()
-        for chunk in chunks:
-            if m := _PLAIN.fullmatch(chunk.lower()):
-                plain.append((chunk, m[1], m[2]))
-                words.add(m[1])
-                signs.add(m[2])
-            else:
-                other.append(chunk)
-        self._learn_words([w for w in words if w not in self.words])
-        new = [s for s in signs if s and s not in self.words]
-        for sign, ids in zip(new, self._ids([s.decode() for s in new])):
+        plain = _PLAIN.findall(b"\n".join(chunks))
+        self._learn_words([w for w in {w for w, _ in plain} if w not in self.words])
+        signs = [s for s in {s for _, s in plain} if s not in self.words]
+        for sign, ids in zip(signs, self._ids([s.decode() for s in signs])):
             self.words[sign] = np.array(ids, "<u4").tobytes()
-        self.words.setdefault(b"", b"")
-        for chunk, word, sign in plain:
-            self.chunks[chunk] = self.words[word] + self.words[sign]
-        for chunk, ids in zip(other, self._ids([c.decode("utf-8", "replace") for c in other])):
-            self.chunks[chunk] = np.array(ids, "<u4").tobytes()
+        words, known = self.words, self.chunks
+        for word, sign in plain:
+            known[word + sign] = words[word] + words[sign]
+        if len(plain) < len(chunks):
+            other = [c for c in chunks if c not in known]
+            for chunk, ids in zip(other, self._ids([c.decode("utf-8", "replace") for c in other])):
+                known[chunk] = np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [(t if _SPECIAL in t else t.lower()).split() for t in texts]
         new: set[bytes] = set()
         for chunks in split:
             new.update(chunks)
