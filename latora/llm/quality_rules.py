@@ -36,8 +36,8 @@ MIN_BASE_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_CHARS = 200
 MIN_WORDS = 40
-MAX_CLASS_DIVERGENCE = 0.08
-MAX_WORD_DIVERGENCE = 0.20
+MAX_CLASS_DIVERGENCE = 0.10
+MAX_WORD_DIVERGENCE = 0.16
 
 # Frequent function words of each language.
 COMMON_WORDS = {
