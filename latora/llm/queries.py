@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latora.llm import decontaminate, packing, quality_resample, quality_rules, sharding, simhash_dedup
+from latora.llm import decontaminate, packing, quality_resample, quality_rules, sharding, simhash_dedup, url_filter
 from latora.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_resample.select_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "posterior", "kept")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_packing": op4_packing,
     "op5_importance_resampling": op5_importance_resampling,
+    "op7_url_filter": op7_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_virtual_slots": op10_virtual_slots,
 }
