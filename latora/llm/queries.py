@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latora.llm import decontaminate, packing, quality_resample, quality_rules, sharding, simhash_dedup, url_filter
+from latora.llm import decontaminate, packing, pii, quality_resample, quality_rules, sharding, simhash_dedup, url_filter
 from latora.llm.common import table
 
 
@@ -31,6 +31,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def _joined(spans):
+    """kind:start:end, comma-joined, kinds as listed and then by start."""
+    order = F.array(*map(F.lit, pii.KINDS))
+    keyed = F.transform(spans, lambda x: F.struct(F.array_position(order, x["kind"]).alias("k"), x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("kind")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -46,6 +60,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_importance_resampling": op5_importance_resampling,
     "op7_url_filter": op7_url_filter,
+    "op8_personal_data": op8_personal_data,
     "op9_quality_rules": op9_quality_rules,
     "op10_virtual_slots": op10_virtual_slots,
 }
