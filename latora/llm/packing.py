@@ -18,7 +18,9 @@ pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import os
 import re
 from collections.abc import Iterator
 
@@ -26,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from latora.llm.common import row_slices, utf8
+from latora.llm.common import row_slices
 
 SEQUENCE = 2048
 END_ID = 1
@@ -119,6 +122,12 @@ class WordEncoder:
         return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
 
 
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    """One for each worker process, which serves many tasks."""
+    return WordEncoder(path)
+
+
 def piece_cost(length: float) -> float:
     return LINEAR * length + QUADRATIC * length * length
 
@@ -230,17 +239,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(path)
+        encoder = _encoder(path)
         packer = _Packer(TaskContext.get().partitionId())
         for part in row_slices(batches):
-            texts = [utf8(t) for t in part.column(1).to_pylist()]
+            texts = [t or b"" for t in part.column(1).to_pylist()]
             for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts)):
                 packer.add(doc_id, ids + end)
                 if packer.tokens >= WINDOW_TOKENS:
                     yield from packer.flush()
         yield from packer.flush()
 
-    return docs.select(id_col, text_col).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, PIECES)
