@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latora.llm import decontaminate, packing, pii, quality_resample, quality_rules, sharding, simhash_dedup, url_filter
+from latora.llm import decontaminate, packing, pii, quality_resample, quality_rules, secret_scan, sharding, simhash_dedup, url_filter
 from latora.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_resample.select_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "posterior", "kept")
 
 
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_packing": op4_packing,
     "op5_importance_resampling": op5_importance_resampling,
+    "op6_secret_forest": op6_secret_forest,
     "op7_url_filter": op7_url_filter,
     "op8_personal_data": op8_personal_data,
     "op9_quality_rules": op9_quality_rules,
