@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latora.llm import decontaminate, packing, pii, quality_resample, quality_rules, secret_scan, sharding, simhash_dedup, url_filter
+from latora.llm import decontaminate, license_scan, packing, pii, quality_resample, quality_rules, secret_scan, sharding, simhash_dedup, url_filter
 from latora.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"), "matches")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -60,6 +65,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_license_scan": op2_license_scan,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_packing": op4_packing,
     "op5_importance_resampling": op5_importance_resampling,
