@@ -1,14 +1,16 @@
 """Quality selection by importance resampling over hashed n-grams.
 
 Two bag-of-n-grams models, one of the target text and one of the raw corpus, are counts over
-``BUCKETS`` hash buckets of words and word pairs. The weight of a document is the ratio of its
-likelihoods under the two. Sampling without replacement by these weights is a top-k of
+``BUCKETS`` hash buckets of words and word pairs. The log-weight of a document is the log-ratio
+of its likelihoods under the two. Its n-grams aren't independent and the fitted ratios err, so
+chance alone moves the sum by about the root of its length; the sum is therefore tempered to
+``TEMPER * log_ratio / sqrt(n)``. Sampling without replacement by these weights is a top-k of
 log-weight plus Gumbel noise.
 
 The target is a bounded sample of labelled good documents (``TARGET_SAMPLE``, by a hash order
-of their ids). The raw model counts every document. k is not a set size: it is the expected
-number of documents of the target kind, the sum over all documents of the posterior
-probability that the raw text's mixture gives them.
+of their ids). Every other one of them fits the target model; the rest, held out, calibrate:
+k is the number of documents that weigh no less than all but ``MISSED`` of the held-out ones.
+The raw model counts every document.
 
 Noise comes from a hash of the id and a seed, so a retried task draws the same. The k-th key
 is found exactly by counting keys in ever finer ranges, ``DIGIT`` bits at a time; only those
@@ -17,7 +19,7 @@ their text's hash, and rows alike in both are kept together.
 
 Defined cases: a null, empty or white-space text has no n-grams and log-weight 0; repeated
 rows draw the same noise; a null id hashes as a value of its own; with no labelled good
-document all weights are 0 and every row is kept; an empty table stays empty; extra columns
+document to fit or to hold out every row is kept; an empty table stays empty; extra columns
 are kept by ``keep_documents`` and ignored by ``select_documents``.
 """
 
@@ -38,11 +40,11 @@ from latora.llm.common import checkpointed, row_slices, utf8
 BUCKETS = 1 << 14
 TARGET_SAMPLE = 20_000
 SMOOTHING = 1.0
+#: The most that one n-gram counts for, in nats: buckets are shared, by chance, with rare text.
+MOST = 2.0
 SEED = 17
-#: Log-odds that a document at weight 1 is of the target kind, and the nats of evidence that
-#: count as one: n-grams of a text are not independent, so their sum overstates the evidence.
-PRIOR = 5.0
-EVIDENCE = 3.0
+TEMPER = 10.0
+MISSED = 0.002
 DIGIT = 12
 
 
@@ -57,15 +59,21 @@ def buckets(text: bytes) -> np.ndarray:
 
 
 def target_ids(labels: DataFrame, sample: int = TARGET_SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """At most ``sample`` ids of good documents, in hash order."""
+    """At most ``sample`` ids of good documents, in hash order, and whether each is held out."""
     good = labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("__target_id")).filter("__target_id IS NOT NULL").distinct()
-    return good.orderBy(F.xxhash64("__target_id", F.lit(SEED)), "__target_id").limit(sample)
+    first = good.orderBy(F.xxhash64("__target_id", F.lit(SEED)), "__target_id").limit(sample)
+    return first.withColumn("__held_out", F.pmod(F.xxhash64("__target_id", F.lit(SEED + 1)), F.lit(2)) == 1)
+
+
+def _with_target(docs: DataFrame, targets: DataFrame, id_col: str) -> DataFrame:
+    """The documents with the target columns, null but for the sample; its size bounds the broadcast."""
+    return docs.join(F.broadcast(targets), F.col(id_col).cast("long") == F.col("__target_id"), "left")
 
 
 def bucket_counts(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """N-grams per bucket of the raw corpus and of the target, in one reading of all documents."""
-    marked = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(targets), F.col("__id") == F.col("__target_id"), "left")
-    marked = marked.select("text", F.col("__target_id").isNotNull().alias("good"))
+    marked = _with_target(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), targets, "id")
+    marked = marked.select("text", F.coalesce(~F.col("__held_out"), F.lit(False)).alias("good"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
@@ -86,11 +94,18 @@ def bucket_counts(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", t
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of the ratio of smoothed bucket probabilities, target over raw."""
+    """Log of the ratio of smoothed bucket probabilities, target over raw, freed of small-sample bias.
+
+    Without that, documents outside of the target sample would look unlike it, the more so the
+    fewer labels there are.
+    """
     if not target.sum():
         return np.zeros(BUCKETS)
     share = lambda n: np.log((n + SMOOTHING) / (n.sum() + SMOOTHING * BUCKETS))
-    return share(target) - share(raw)
+    ratio = share(target) - share(raw)
+    # the log of a small count lies below the log of its mean, by half its relative variance
+    ratio += 0.5 / (target + SMOOTHING) - 0.5 / (raw + SMOOTHING)
+    return np.clip(ratio, -MOST, MOST)
 
 
 def gumbel(*by: Column | str, seed: int = SEED) -> Column:
@@ -99,18 +114,13 @@ def gumbel(*by: Column | str, seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
-def fitted_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TARGET_SAMPLE) -> Broadcast:
-    """The log-ratio of each bucket, broadcast: ``BUCKETS`` doubles."""
-    raw, target = bucket_counts(docs, target_ids(labels, sample), id_col, text_col)
-    return docs.sparkSession.sparkContext.broadcast(log_ratio(raw, target))
-
-
 def log_weight(ratio: Broadcast) -> Callable[[Column], Column]:
-    """A function of a text column: the log of its likelihood ratio."""
+    """A function of a text column: the tempered log of its likelihood ratio."""
 
     @F.pandas_udf("double")
     def weigh(texts: pd.Series) -> pd.Series:
-        return pd.Series([float(ratio.value[buckets(utf8(t))].sum()) for t in texts])
+        found = (buckets(utf8(t)) for t in texts)
+        return pd.Series([TEMPER * float(ratio.value[b].sum()) / max(1.0, len(b) ** 0.5) for b in found], dtype="float64")
 
     return weigh
 
@@ -158,20 +168,23 @@ def _above(at: int, tie_at: int) -> Column:
 
 def _cut(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[Broadcast, DataFrame, Column]:
     """The fitted ratio, the scores of every row, and the condition of the top-k."""
-    ratio = fitted_ratio(docs, labels, id_col, text_col, sample)
-    posterior = 1 / (1 + F.exp(-(F.lit(PRIOR) + F.col("log_weight") / EVIDENCE)))
-    scored = checkpointed(with_scores(docs, ratio, id_col, text_col).select("doc_id", "text_hash", "log_weight", "key", posterior.alias("posterior")))
-    sums = scored.agg(F.count("*").alias("n"), F.sum("posterior").alias("expected")).first()
-    k = min(sums.n, round(sums.expected or 0)) if ratio.value.any() else sums.n
-    if 1 <= k < sums.n:
-        return ratio, scored, _above(*top_k_cut(scored, k))
-    return ratio, scored, F.lit(k >= sums.n)
+    targets = checkpointed(target_ids(labels, sample))
+    raw, target = bucket_counts(docs, targets, id_col, text_col)
+    ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(raw, target))
+    scored = checkpointed(_with_target(with_scores(docs, ratio, id_col, text_col).drop("row"), targets, "doc_id").drop("__target_id"))
+    least = scored.filter("__held_out").agg(F.percentile("log_weight", F.lit(MISSED))).first()[0]
+    if least is None or not ratio.value.any():
+        return ratio, scored, F.lit(True)
+    sums = scored.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= least).alias("k")).first()
+    if 1 <= sums.k < sums.n:
+        return ratio, scored, _above(*top_k_cut(scored, sums.k))
+    return ratio, scored, F.lit(sums.k >= sums.n)
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TARGET_SAMPLE) -> DataFrame:
-    """Scores of every row, and ``kept``: whether it is in the Gumbel top-k."""
+    """(doc_id, text_hash, log_weight, key) of every row, and ``kept``: whether it is in the Gumbel top-k."""
     _, scored, top = _cut(docs, labels, id_col, text_col, sample)
-    return scored.withColumn("kept", top)
+    return scored.select("doc_id", "text_hash", "log_weight", "key", top.alias("kept"))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TARGET_SAMPLE) -> DataFrame:

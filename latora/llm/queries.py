@@ -29,7 +29,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_resample.select_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "posterior", "kept")
+    return quality_resample.select_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "kept")
 
 
 def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
