@@ -50,7 +50,8 @@ def _joined(spans):
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
