@@ -1,6 +1,604 @@
-"""Registered queries of the catalogue operators, with their DuckDB equivalents."""
+"""Registered queries of the catalogue operators, with their DuckDB equivalents.
+
+Catalogue A collapses ``lineitem`` joined with ``part``: a part's name and brand are title and
+artist, its type the genre, and six measures the features. Catalogue B is ``embeddings``.
+Doubles are rounded to six places on both sides, and 0.0 is added so that zero has one sign.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from functools import cache
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from latora.functions import text
+from latora.functions.vectors import total
+from latora.operators import analysis, cluster, evaluate, explain, factor, metrics, rank, similarity
+from latora.operators.model import LatentModel, fit_latent_model
+from latora.operators.recommend import Recommender
+from latora.operators.scaling import fit_scaler
+from latora.sources import catalog as catalogs
+from latora.sources.synthetic import synthetic_frame
+
+FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size", "p_retailprice")
+D = len(FEATURES)
+WIDTH_B = 64
+SEEDS, NEGATIVES = (3, 40, 77), (11, 90)
+P_VALUES = (("a", 0.001), ("b", 0.009), ("c", 0.02), ("d", 0.04), ("e", 0.3), ("f", 0.6), ("g", 0.9))
+SIGMA = (100.0, 90.0, 80.0, 4.0, 3.5, 3.0, 2.5, 2.0)
+
+
+def rounded(col: Column | str) -> Column:
+    col = F.col(col) if isinstance(col, str) else col
+    return F.round(col, 6) + F.lit(0.0)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("track_name"), F.col("p_brand").alias("artist_names"), F.col("p_type").alias("genre"), F.col("p_size").cast("double"), "p_retailprice")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return lines.join(parts, "p_partkey")
+
+
+@cache
+def _catalog_a(app: str, sf_dir: str) -> DataFrame:
+    # the names of this table are ASCII
+    return catalogs.ingest(raw_rows(SparkSession.active(), sf_dir), FEATURES, any_script=False, order=["track_name", "artist_names", "p_partkey"])
+
+
+def catalog_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collapsed once for each application and folder; its rows are in the checkpoint folder."""
+    return _catalog_a(spark.sparkContext.applicationId, sf_dir)
+
+
+def catalog_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("song_id"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("track_name"), F.col("label").cast("string").alias("artist_names"), "label", F.col("embedding").cast("array<double>").alias("features"), F.lit(1.0).alias("pop"))
+
+
+@cache
+def _scaled_a(app: str, sf_dir: str, method: str) -> tuple:
+    songs = _catalog_a(app, sf_dir)
+    return songs, fit_scaler(songs, FEATURES, method)
+
+
+def scaled_a(spark: SparkSession, sf_dir: str, method: str = "zscore") -> DataFrame:
+    songs, scaler = _scaled_a(spark.sparkContext.applicationId, sf_dir, method)
+    return songs.withColumn("features", scaler.transform(F.col("features")))
+
+
+def spread(df: DataFrame, vector: str, prefix: str, width: int, *keep: str) -> DataFrame:
+    return df.select(*keep, *(rounded(F.col(vector)[k]).alias(f"{prefix}{k + 1}") for k in range(width)))
+
+
+@cache
+def _model(app: str, sf_dir: str, k, whiten: bool, backend: str) -> LatentModel:
+    return fit_latent_model(_catalog_a(app, sf_dir), FEATURES, k, whiten=whiten, backend=backend, seed=0)
+
+
+def model_a(spark: SparkSession, sf_dir: str, k: int | str = D, whiten: bool = False, backend: str = "tsqr") -> LatentModel:
+    return _model(spark.sparkContext.applicationId, sf_dir, k, whiten, backend)
+
+
+# Catalogue ----------------------------------------------------------------------------------
+
+
+def catalog_dedup(spark, sf_dir):
+    return catalog_a(spark, sf_dir).select("song_id", "track_name", "artist_names", "genre", *(rounded(f).alias(f) for f in FEATURES), "chart_appearances")
+
+
+def catalog_no_dedup(spark, sf_dir):
+    rows = catalogs.ingest(raw_rows(spark, sf_dir), FEATURES, deduplicate=False, order=["track_name", "artist_names", "p_partkey"])
+    return rows.groupBy("artist_names").agg(F.count("*").alias("n"), rounded(F.sum("l_quantity")).alias("quantity"), F.countDistinct("song_id").alias("n_ids"))
+
+
+def catalog_popularity(spark, sf_dir):
+    return catalogs.with_popularity(catalog_a(spark, sf_dir)).select("song_id", rounded("pop").alias("pop"))
+
+
+def catalog_describe(spark, sf_dir):
+    return catalogs.describe(catalog_a(spark, sf_dir))
+
+
+def coerce_features(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    written = F.concat(F.col("l_quantity").cast("string"), F.when(F.col("l_returnflag") == "R", "d").when(F.col("l_linestatus") == "F", "x").otherwise(""))
+    return lines.select("l_returnflag", "l_linestatus", catalogs.number(written).alias("v")).groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.count("v").alias("n_numbers"), rounded(F.coalesce(F.sum("v"), F.lit(0.0))).alias("total"))
+
+
+def demo_playlist(spark, sf_dir):
+    return catalogs.demo_playlist(catalog_a(spark, sf_dir))
+
+
+# Scaling and factors ------------------------------------------------------------------------
+
+
+def _scale(method):
+    return lambda spark, sf_dir: spread(scaled_a(spark, sf_dir, method), "features", "z", D, "song_id")
+
+
+def scale_inverse(spark, sf_dir):
+    songs, scaler = _scaled_a(spark.sparkContext.applicationId, sf_dir, "robust")
+    return spread(songs.select("song_id", scaler.inverse_transform(scaler.transform(F.col("features"))).alias("x")), "x", "f", D, "song_id")
+
+
+def gram_matrix(spark, sf_dir):
+    g = factor.gram(scaled_a(spark, sf_dir), D)
+    return spark.createDataFrame([(i + 1, j + 1, float(g[i, j])) for i in range(D) for j in range(i, D)], "i int, j int, value double").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), rounded("value").alias("value"))
+
+
+def spectrum_energy(spark, sf_dir):
+    """Squares of singular values by QR of the rows; their sum is the sum of squares of all entries."""
+    sigma = model_a(spark, sf_dir).full_spectrum
+    return spark.createDataFrame([(float((sigma**2).sum()),)], "energy double").select(rounded("energy").alias("energy"))
+
+
+def svd_two_features(spark, sf_dir):
+    pair = scaled_a(spark, sf_dir).select(F.slice("features", 1, 2).alias("features"))
+    found = factor.svd(pair, 2, pair.count())
+    rows = [(k + 1, float(found.sigma[k]), *map(float, found.vt[k])) for k in range(2)]
+    return spark.createDataFrame(rows, "component long, sigma double, v1 double, v2 double").select("component", rounded("sigma").alias("sigma"), rounded(F.abs("v1")).alias("v1"), rounded(F.abs("v2")).alias("v2"))
+
+
+def fullrank_roundtrip(spark, sf_dir):
+    model = model_a(spark, sf_dir)
+    back = catalog_a(spark, sf_dir).select("song_id", model.inverse_transform(model.transform(F.col("features"))).alias("x"))
+    return spread(back, "x", "f", D, "song_id")
+
+
+def _latent(k, whiten, backend):
+    def query(spark, sf_dir):
+        model = model_a(spark, sf_dir, k, whiten, backend)
+        return spread(catalog_a(spark, sf_dir).select("song_id", model.transform(F.col("features")).alias("x")), "x", "lf", model.k, "song_id")
+
+    return query
+
+
+def whitened_energy(spark, sf_dir):
+    """Latent columns of a whitened full-rank model are orthonormal: each has length 1."""
+    model = model_a(spark, sf_dir, D, True)
+    rows = catalog_a(spark, sf_dir).select(model.transform(F.col("features")).alias("x")).select(F.posexplode("x").alias("p", "v"))
+    return rows.groupBy((F.col("p") + 1).cast("long").alias("component")).agg(rounded(F.sum(F.col("v") * F.col("v"))).alias("length"))
+
+
+def model_roundtrip(spark, sf_dir):
+    """A model saved to the checkpoint folder and loaded again projects as before."""
+    import tempfile
+    import uuid
+
+    model = model_a(spark, sf_dir, 3)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/model-{uuid.uuid4().hex}"
+    model.save(spark, path)
+    loaded = LatentModel.load(spark, path)
+    gap = total([F.abs(loaded.transform(F.col("features"))[k] - model.transform(F.col("features"))[k]) for k in range(3)])
+    return catalog_a(spark, sf_dir).agg(F.count("*").alias("n"), rounded(F.max(gap)).alias("gap"))
+
+
+def rank_choices(spark, sf_dir):
+    rows = [("variance", rank.by_variance(SIGMA, 0.9)), ("elbow", rank.by_elbow(SIGMA)), ("gavish_known_noise", rank.by_gavish_donoho(SIGMA, 100, 100, 1.0))]
+    return spark.createDataFrame(rows, "strategy string, k long")
+
+
+def scree(spark, sf_dir):
+    return analysis.scree(spark, SIGMA).select(F.col("component").cast("long").alias("component"), rounded("share").alias("share"), rounded("cumulative").alias("cumulative"))
+
+
+def variance_shares(spark, sf_dir):
+    return analysis.variance_shares(catalog_a(spark, sf_dir), FEATURES).select("feature", rounded("variance").alias("variance"), rounded("share").alias("share"))
+
+
+def feature_summary(spark, sf_dir):
+    s = analysis.feature_summary(catalog_a(spark, sf_dir), FEATURES)
+    return s.select("feature", "n", *(rounded(c).alias(c) for c in ("mean", "sd", "min", "q25", "median", "q75", "max")))
+
+
+def loadings(spark, sf_dir):
+    return analysis.loadings(spark, model_a(spark, sf_dir, 3))
+
+
+# Similarity and ranking ---------------------------------------------------------------------
+
+
+def cosine_topk(spark, sf_dir):
+    songs = catalog_b(spark, sf_dir)
+    top = similarity.query_topk(songs, songs.select(F.col("song_id").alias("query_id"), "features"), 10, exclude_self=True)
+    return top.select("query_id", F.col("pos").cast("long").alias("pos"), "song_id", rounded("score").alias("score"))
+
+
+def cosine_all_pairs(spark, sf_dir):
+    songs = catalog_b(spark, sf_dir)
+    return similarity.similarity_matrix(songs, songs, upper=True).select("i", "j", rounded("score").alias("score"))
+
+
+def _aggregated(method):
+    def query(spark, sf_dir):
+        scores = Recommender(scaled_a(spark, sf_dir), width=D).scored(SEEDS, method)
+        return scores.select("song_id", rounded("score").alias("score"))
+
+    return query
+
+
+def _recommended(latent=False, explain=False, **options):
+    def query(spark, sf_dir):
+        engine = Recommender(catalog_a(spark, sf_dir), model_a(spark, sf_dir)) if latent else Recommender(scaled_a(spark, sf_dir), width=D)
+        out = engine.recommend(SEEDS, 10, explain=explain, **options)
+        return out.select(F.col("pos").cast("long").alias("pos"), "song_id", "track_name", "artist_names", rounded("score").alias("score"), F.col("seed_id").cast("long").alias("seed_id"))
+
+    return query
+
+
+def explain_components(spark, sf_dir):
+    """The shares of all features in the similarity of every song to the first seed, the three largest."""
+    songs = scaled_a(spark, sf_dir)
+    seed = F.array(*map(F.lit, songs.filter(F.col("song_id") == SEEDS[0]).select("features").first()[0]))
+    terms = songs.select("song_id", F.posexplode(explain.contributions(seed, F.col("features"), D, 3, FEATURES)).alias("p", "t"))
+    return terms.select("song_id", (F.col("p") + 1).cast("long").alias("place"), F.col("t.component").cast("long").alias("component"), rounded("t.contribution").alias("contribution"))
+
+
+def explain_score(spark, sf_dir):
+    songs = scaled_a(spark, sf_dir)
+    seed = F.array(*map(F.lit, songs.filter(F.col("song_id") == SEEDS[0]).select("features").first()[0]))
+    return songs.select("song_id", rounded(explain.similarity_score(seed, F.col("features"), D)).alias("score"))
+
+
+# Text ---------------------------------------------------------------------------------------
+
+
+def title_normalize(spark, sf_dir):
+    names = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" (Live) - Remastered 2011 feat. "), "p_brand").alias("t"))
+    people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("  É"), "c_name", F.lit(" - Live at ü  [x] ")).alias("t"))
+    return names.unionByName(people).select("id", text.normalize_title("t").alias("title"))
+
+
+def _names(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_name").distinct()
+
+
+def edit_distances(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    a, b = names.select(F.col("p_name").alias("x")), names.select(F.col("p_name").alias("y"))
+    pairs = a.join(b, F.col("x") < F.col("y"))
+    return pairs.select("x", "y", F.levenshtein("x", "y").cast("long").alias("distance"), rounded(text.similarity_ratio(F.col("x"), F.col("y"))).alias("ratio"), rounded(text.token_overlap(F.col("x"), F.col("y"))).alias("overlap"))
+
+
+QUERY_TEXTS = ("{0}", "{0} - {1}", "{0}x", "no such thing at all", "{2} extra - {3}")
+
+
+def _query_texts(spark, sf_dir):
+    """Texts made from the first songs, some spoiled."""
+    songs = [(r.track_name, r.artist_names) for r in catalog_a(spark, sf_dir).filter(F.col("song_id").isin(5, 60)).orderBy("song_id").collect()]
+    words = [w for pair in songs for w in pair]
+    return spark.createDataFrame([(k, t.format(*words)) for k, t in enumerate(QUERY_TEXTS)], "query_id long, text string")
+
+
+def fuzzy_match(spark, sf_dir):
+    found = catalogs.find(catalog_a(spark, sf_dir), _query_texts(spark, sf_dir), any_script=False)
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "song_id", rounded("score").alias("score"), "exact")
+
+
+def exact_match(spark, sf_dir):
+    found = catalogs.find(catalog_a(spark, sf_dir), _query_texts(spark, sf_dir), fuzzy=False, any_script=False)
+    return found.select("query_id", F.col("pos").cast("long").alias("pos"), "song_id")
+
+
+def playlist_resolve(spark, sf_dir):
+    seeds, _, _ = catalogs.resolve_playlist(catalog_a(spark, sf_dir), _query_texts(spark, sf_dir), any_script=False)
+    return seeds.select("song_id", "pos")
+
+
+def playlist_unresolved(spark, sf_dir):
+    return catalogs.resolve_playlist(catalog_a(spark, sf_dir), _query_texts(spark, sf_dir), any_script=False)[2]
+
+
+# Metrics and evaluation ---------------------------------------------------------------------
+
+
+def _neighbours(spark, sf_dir):
+    songs = catalog_b(spark, sf_dir)
+    ranked = similarity.query_topk(songs, songs.select(F.col("song_id").alias("query_id"), "features"), 10, exclude_self=True)
+    own, other = songs.select(F.col("song_id").alias("query_id"), "label"), songs.select("song_id", "label")
+    return songs, ranked, own.join(other, "label").filter("query_id <> song_id").select("query_id", "song_id")
+
+
+def metric_ranking(spark, sf_dir):
+    _, ranked, relevant = _neighbours(spark, sf_dir)
+    return metrics.ranking_metrics(ranked, relevant, 10).select("query_id", *(rounded(m).alias(m) for m in metrics.PER_QUERY))
+
+
+def metric_diversity(spark, sf_dir):
+    songs, ranked, _ = _neighbours(spark, sf_dir)
+    return metrics.intra_list_diversity(ranked, songs, WIDTH_B).select("query_id", rounded("diversity").alias("diversity"))
+
+
+def metric_entropy(spark, sf_dir):
+    songs, ranked, _ = _neighbours(spark, sf_dir)
+    return metrics.label_entropy(ranked, songs).select("query_id", rounded("entropy").alias("entropy"))
+
+
+def metric_coverage(spark, sf_dir):
+    songs, ranked, _ = _neighbours(spark, sf_dir)
+    return metrics.catalog_coverage(ranked, songs.count()).select(rounded("coverage").alias("coverage"))
+
+
+def metric_novelty(spark, sf_dir):
+    songs = catalogs.with_popularity(catalog_a(spark, sf_dir))
+    ranked = similarity.query_topk(scaled_a(spark, sf_dir), scaled_a(spark, sf_dir).select(F.col("song_id").alias("query_id"), "features"), 10, exclude_self=True)
+    return metrics.novelty(ranked, songs).select("query_id", rounded("novelty").alias("novelty"))
+
+
+def _first_seeds(spark, sf_dir):
+    """Three lowest ids of each artist as seeds."""
+    w = Window.partitionBy("artist_names").orderBy("song_id")
+    songs = catalog_a(spark, sf_dir).withColumn("r", F.row_number().over(w)).withColumn("query_id", F.dense_rank().over(Window.orderBy("artist_names")).cast("long") - 1)
+    return songs.filter("r <= 3").select("query_id", "song_id")
+
+
+def _ranked(kind):
+    def query(spark, sf_dir):
+        songs = catalogs.with_popularity(catalog_a(spark, sf_dir))
+        ranker = {"popularity": lambda: evaluate.PopularityRanker(songs), "random": lambda: evaluate.RandomRanker(songs), **{a: lambda a=a: evaluate.VectorRanker(a, scaled_a(spark, sf_dir), a) for a in ("max", "mean", "borda")}}[kind]()
+        return ranker.rank(_first_seeds(spark, sf_dir), 10).select("query_id", F.col("pos").cast("long").alias("pos"), "song_id", rounded("score").alias("score"))
+
+    return query
+
+
+def eval_groups(spark, sf_dir):
+    seeds, relevant = evaluate.build_groups(catalog_a(spark, sf_dir))
+    both = seeds.withColumn("part", F.lit("seed")).unionByName(relevant.withColumn("part", F.lit("relevant")))
+    return both.groupBy("query_id").agg(F.count_if(F.col("part") == "seed").alias("n_seeds"), F.count("*").alias("n"))
+
+
+@cache
+def _comparison(app, sf_dir):
+    from latora.functions.ranking import durable
+
+    spark = SparkSession.active()
+    songs = catalogs.with_popularity(catalog_a(spark, sf_dir))
+    seeds, relevant = evaluate.build_groups(songs)
+    seeds, relevant = durable(seeds), durable(relevant)
+    latent = {f"svd_k{k}": catalog_a(spark, sf_dir).select("song_id", model_a(spark, sf_dir, k).transform(F.col("features")).alias("features")) for k in (2, 3, D)}
+    rankers = evaluate.standard_rankers(songs, scaled_a(spark, sf_dir), latent)
+    return durable(evaluate.compare(rankers, seeds, relevant, songs, scaled_a(spark, sf_dir), D))
+
+
+def eval_summary(spark, sf_dir):
+    return evaluate.summary(_comparison(spark.sparkContext.applicationId, sf_dir))
+
+
+def bootstrap_ci(spark, sf_dir):
+    return evaluate.bootstrap_ci(_comparison(spark.sparkContext.applicationId, sf_dir))
+
+
+def paired_bootstrap(spark, sf_dir):
+    return evaluate.holm(evaluate.paired_bootstrap(_comparison(spark.sparkContext.applicationId, sf_dir)))
+
+
+def holm(spark, sf_dir):
+    tests = spark.createDataFrame(list(P_VALUES), "system string, p double")
+    return evaluate.holm(tests).select("system", rounded("adjusted_p").alias("adjusted_p"), "significant")
+
+
+# Clusters -----------------------------------------------------------------------------------
+
+
+def _label_means(spark, sf_dir):
+    songs = catalog_b(spark, sf_dir)
+    rows = songs.groupBy("label").agg(*(F.avg(F.col("features")[k]).alias(f"m{k}") for k in range(WIDTH_B))).orderBy("label").collect()  # ten labels
+    return songs, np.array([list(r)[1:] for r in rows], float)
+
+
+def kmeans_assign(spark, sf_dir):
+    songs, means = _label_means(spark, sf_dir)
+    return cluster.assign(songs, means).select("song_id", F.col("cluster").cast("long").alias("cluster"), rounded("d2").alias("d2"))
+
+
+def kmeans_lloyd_step(spark, sf_dir):
+    songs, means = _label_means(spark, sf_dir)
+    new, inertia = cluster.lloyd_step(songs, means)
+    rows = [(k, float(inertia), float(new[k].sum())) for k in range(len(new))]
+    return spark.createDataFrame(rows, "cluster long, inertia double, coordinates double").select("cluster", rounded("inertia").alias("inertia"), rounded("coordinates").alias("coordinates"))
+
+
+def kmeans_fit(spark, sf_dir):
+    songs = catalog_b(spark, sf_dir)
+    result = cluster.kmeans(songs, 10, n_restarts=2, max_iter=20)
+    return result.assign(songs)
+
+
+def silhouette(spark, sf_dir):
+    score = cluster.silhouette(catalog_b(spark, sf_dir), label="label")
+    return spark.createDataFrame([(score,)], "score double").select(rounded("score").alias("score"))
+
+
+def _labels(spark, sf_dir):
+    return read(spark, sf_dir, "labels")
+
+
+def contingency(spark, sf_dir):
+    return cluster.contingency(_labels(spark, sf_dir), "quality", "toxic")
+
+
+def confusion_pivot(spark, sf_dir):
+    table = cluster.confusion_table(read(spark, sf_dir, "documents").join(_labels(spark, sf_dir), "doc_id"), "lang", "quality")
+    return table.select("lang", F.col("0").alias("q0"), F.col("1").alias("q1"))
+
+
+def agreement(spark, sf_dir):
+    pairs = read(spark, sf_dir, "documents").join(_labels(spark, sf_dir), "doc_id").select("lang", "quality", "toxic")
+    out = None
+    for a, b in (("quality", "toxic"), ("lang", "quality"), ("toxic", "lang")):
+        part = cluster.agreement(pairs, a, b).select(F.lit(f"{a}/{b}").alias("pair"), "n", "n_a", "n_b", rounded("adjusted_rand").alias("adjusted_rand"), rounded("nmi").alias("nmi"), rounded("purity").alias("purity"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def confusion_shares(spark, sf_dir):
+    pairs = read(spark, sf_dir, "documents").join(_labels(spark, sf_dir), "doc_id")
+    return cluster.row_shares(pairs, "lang", "quality").select("lang", "quality", "n", rounded("share").alias("share"), "dominant")
+
+
+def synthetic_catalog(spark, sf_dir):
+    from latora.sources.synthetic import synthetic_catalog as make
+
+    return make(spark, 600, 60, seed=7).drop("features")
+
+
+def synthetic_rows(spark, sf_dir):
+    return synthetic_frame(spark, 600, 60, seed=7).groupBy("genre").agg(F.count("*").alias("n"))
+
+
+QUERIES = {
+    "catalog_dedup": catalog_dedup, "catalog_no_dedup": catalog_no_dedup, "catalog_popularity": catalog_popularity, "catalog_describe": catalog_describe, "coerce_features": coerce_features, "demo_playlist": demo_playlist,
+    "scale_zscore": _scale("zscore"), "scale_robust": _scale("robust"), "scale_none": _scale("none"), "scale_inverse": scale_inverse,
+    "gram_matrix": gram_matrix, "spectrum_energy": spectrum_energy, "svd_two_features": svd_two_features, "fullrank_roundtrip": fullrank_roundtrip, "whitened_energy": whitened_energy, "model_roundtrip": model_roundtrip,
+    "truncated_latent": _latent(3, False, "tsqr"), "whitened_latent": _latent(3, True, "tsqr"), "randomized_latent": _latent(3, False, "randomized"), "gram_latent": _latent(3, False, "gram"),
+    "rank_choices": rank_choices, "scree": scree, "variance_shares": variance_shares, "feature_summary": feature_summary, "loadings": loadings,
+    "cosine_topk": cosine_topk, "cosine_all_pairs": cosine_all_pairs, "agg_max": _aggregated("max"), "agg_mean": _aggregated("mean"), "agg_borda": _aggregated("borda"),
+    "rec_overall_top": _recommended(), "rec_no_cap": _recommended(max_per_artist=None), "rec_mean": _recommended(aggregation="mean"), "rec_borda": _recommended(aggregation="borda"),
+    "rec_rocchio": _recommended(negatives=NEGATIVES), "rec_novelty": _recommended(novelty_weight=0.1), "rec_centroid": _recommended(strategy="centroid"), "rec_centroid_rocchio": _recommended(strategy="centroid", negatives=NEGATIVES),
+    "fullrank_latent_cosine": _recommended(latent=True), "rec_mmr": _recommended(strategy="mmr"), "rec_mmr_relevance": _recommended(strategy="mmr", mmr_lambda=1.0), "rec_one_per_song": _recommended(strategy="one_per_song"),
+    "explain_components": explain_components, "explain_score": explain_score,
+    "title_normalize": title_normalize, "edit_distances": edit_distances, "fuzzy_match": fuzzy_match, "exact_match": exact_match, "playlist_resolve": playlist_resolve, "playlist_unresolved": playlist_unresolved,
+    "metric_ranking": metric_ranking, "metric_diversity": metric_diversity, "metric_entropy": metric_entropy, "metric_coverage": metric_coverage, "metric_novelty": metric_novelty,
+    "rank_popularity": _ranked("popularity"), "rank_random": _ranked("random"), "rank_raw": _ranked("max"), "rank_mean": _ranked("mean"), "rank_borda": _ranked("borda"),
+    "eval_groups": eval_groups, "eval_summary": eval_summary, "bootstrap_ci": bootstrap_ci, "paired_bootstrap": paired_bootstrap, "holm": holm,
+    "kmeans_assign": kmeans_assign, "kmeans_lloyd_step": kmeans_lloyd_step, "kmeans_fit": kmeans_fit, "silhouette": silhouette,
+    "contingency": contingency, "confusion_pivot": confusion_pivot, "agreement": agreement, "confusion_shares": confusion_shares,
+    "synthetic_catalog": synthetic_catalog, "synthetic_rows": synthetic_rows,
+}
+
+
+# DuckDB -------------------------------------------------------------------------------------
+
+_N = range(1, D + 1)
+_join = lambda pattern, sep=", ": sep.join(pattern.format(k=k, f=FEATURES[k - 1]) for k in _N)
+_r = lambda x: f"round({x}, 6) + 0.0"
+_CAT = f"""WITH raw AS (SELECT p_name, p_brand, p_type, p_partkey, {_join("CAST({f} AS DOUBLE) AS f{k}")} FROM lineitem JOIN part ON l_partkey = p_partkey),
+grp AS (SELECT min(p_name) AS track_name, min(p_brand) AS artist_names, arg_min(p_type, p_partkey) AS genre, {_join("median(f{k}) AS f{k}")}, count(*) AS chart_appearances FROM raw GROUP BY lower(trim(p_name)), lower(trim(p_brand))),
+cat AS (SELECT row_number() OVER (ORDER BY track_name, artist_names) - 1 AS song_id, *, ln(1 + chart_appearances) AS lp FROM grp),
+stats AS (SELECT {_join("avg(f{k}) AS m{k}, stddev_pop(f{k}) AS s{k}")}, min(lp) AS lo, max(lp) AS hi FROM cat),
+z AS (SELECT cat.*, (lp - lo) / (hi - lo) AS pop, {_join("(f{k} - m{k}) / s{k} AS z{k}")} FROM cat, stats),
+u AS (SELECT *, sqrt({_join("z{k}*z{k}", " + ")}) AS nrm FROM z)"""
+_IDS = ", ".join(map(str, SEEDS))
+_sim = f"greatest(-1, least(1, ({_join('c.z{k}*s.z{k}', ' + ')}) / (c.nrm * s.nrm)))"
+_SIM = f"""{_CAT}, sim AS (SELECT c.song_id, s.song_id AS seed_id, CASE s.song_id {" ".join(f"WHEN {s} THEN {k}" for k, s in enumerate((*SEEDS, *NEGATIVES)))} END AS place, {_sim} AS sim FROM u c, u s WHERE s.song_id IN ({_IDS}, {", ".join(map(str, NEGATIVES))})),
+near AS (SELECT song_id, arg_min(seed_id, (-sim, place)) AS seed_id FROM sim WHERE place < {len(SEEDS)} GROUP BY song_id)"""
+_AGG = {
+    "max": f"SELECT song_id, max(sim) AS score FROM sim WHERE place < {len(SEEDS)} GROUP BY song_id",
+    "mean": f"SELECT song_id, avg(sim) AS score FROM sim WHERE place < {len(SEEDS)} GROUP BY song_id",
+    "borda": f"SELECT song_id, sum(n + 1 - r) / ({len(SEEDS)} * max(n)) AS score FROM (SELECT song_id, count(*) OVER (PARTITION BY seed_id) AS n, row_number() OVER (PARTITION BY seed_id ORDER BY sim DESC, song_id) AS r FROM sim WHERE place < {len(SEEDS)}) GROUP BY song_id",
+}
+
+
+def _rec_sql(score: str, cap: int | None = 2, n: int = 10, pool: int = 80, more: str = "") -> str:
+    """``score`` is a query of (song_id, score)."""
+    pool = pool if cap else n
+    capped = f"SELECT *, row_number() OVER (PARTITION BY lower(trim(artist_names)) ORDER BY score DESC, song_id) AS nth FROM pool QUALIFY nth <= {cap}" if cap else "SELECT * FROM pool"
+    return f"""{_SIM}{more}, scored AS ({score}),
+pool AS (SELECT song_id, score, track_name, artist_names FROM scored JOIN u USING (song_id) WHERE song_id NOT IN ({_IDS}) ORDER BY score DESC, song_id LIMIT {pool}),
+capped AS ({capped}), final AS (SELECT *, row_number() OVER (ORDER BY score DESC, song_id) AS pos FROM capped)
+SELECT pos, song_id, track_name, artist_names, {_r("score")} AS score, seed_id FROM final JOIN near USING (song_id) WHERE pos <= {n}"""
+
+
+_LATENT_MEAN = lambda ids: ", ".join(f"avg(z{k}) FILTER (WHERE song_id IN ({', '.join(map(str, ids))})) AS {{p}}{k}" for k in _N)
+_mid = lambda: f", mid AS (SELECT {_LATENT_MEAN(SEEDS).format(p='q')}, {_LATENT_MEAN(NEGATIVES).format(p='n')} FROM u)"
+
+
+def _centroid_sql(weight: float) -> str:
+    q = [f"(q{k} - {weight} * n{k})" for k in _N]
+    score = f"SELECT song_id, greatest(-1, least(1, ({' + '.join(f'z{k} * {q[k - 1]}' for k in _N)}) / (nrm * sqrt({' + '.join(f'{x}*{x}' for x in q)})))) AS score FROM u, mid"
+    return _rec_sql(score, more=_mid())
+
+
+_EMB = "WITH e AS (SELECT vec_id AS song_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM e)"
+_TOP = f"{_EMB}, p AS (SELECT a.song_id AS query_id, b.song_id, a.label AS la, b.label AS lb, greatest(-1, least(1, list_dot_product(a.v, b.v) / (a.l * b.l))) AS score FROM n a, n b WHERE a.song_id <> b.song_id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, song_id) AS pos FROM p QUALIFY pos <= 10)"
+_TITLE = lambda x: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(strip_accents({x}))), '\\b(feat|ft|featuring|with)\\b.*', '', 'g'), '\\s*-\\s*(remaster(ed)?|radio edit|single version|album version|live|bonus track|deluxe|explicit|clean)\\b.*', '', 'g'), '[\\(\\[].*?[\\)\\]]', '', 'g'), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_overlap = lambda a, b: f"len(list_intersect(list_distinct(string_split({a}, ' ')), list_distinct(string_split({b}, ' '))))::DOUBLE / least(len(list_distinct(string_split({a}, ' '))), len(list_distinct(string_split({b}, ' '))))"
+_texts = lambda: " UNION ALL ".join(f"SELECT {k} AS query_id, {expr} AS text" for k, expr in enumerate(("t5", "t5 || ' - ' || a5", "t5 || 'x'", "'no such thing at all'", "t60 || ' extra - ' || a60")))
+_MATCH = f"""{_CAT}, w AS (SELECT max(track_name) FILTER (WHERE song_id = 5) AS t5, max(artist_names) FILTER (WHERE song_id = 5) AS a5, max(track_name) FILTER (WHERE song_id = 60) AS t60, max(artist_names) FILTER (WHERE song_id = 60) AS a60 FROM cat),
+texts AS (SELECT q.* FROM w, LATERAL ({_texts()}) q),
+q AS (SELECT query_id, {_TITLE("CASE WHEN text LIKE '% - %' THEN regexp_extract(text, '^(.*) - ', 1) ELSE text END")} AS q, CASE WHEN text LIKE '% - %' THEN {_TITLE("regexp_extract(text, '^.* - (.*)$', 1)")} ELSE '' END AS h, CASE WHEN text LIKE '% - %' THEN lower(regexp_extract(text, '^.* - (.*)$', 1)) ELSE '' END AS raw_hint FROM texts),
+songs AS (SELECT song_id, artist_names, {_TITLE("track_name")} AS t, {_TITLE("artist_names")} AS a FROM cat),
+pairs AS (SELECT query_id, song_id, q = t AS exact, h, a, CASE WHEN q = t THEN 1.0 ELSE greatest(1 - levenshtein(q, t)::DOUBLE / greatest(length(q), length(t)), 0.95 * {_overlap("q", "t")}) END AS base FROM q, songs WHERE abs(length(q) - length(t)) <= greatest(length(q), length(t)) * 0.5),
+ranked AS (SELECT *, CASE WHEN h = '' THEN base WHEN contains(a, h) THEN least(1.0, base + 0.15) ELSE base - 0.05 END AS score FROM pairs),
+found AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, score DESC, song_id) AS pos FROM ranked WHERE score >= 0.72)"""
+_PAIRS = "SELECT lang, quality, toxic FROM documents JOIN labels USING (doc_id)"
+
+
+def _agreement_sql(a: str, b: str) -> str:
+    return f"""SELECT '{a}/{b}' AS pair, n, n_a, n_b, {_r("CASE WHEN abs((ia + ib) / 2 - ia * ib / t) > 1e-12 THEN (j - ia * ib / t) / ((ia + ib) / 2 - ia * ib / t) ELSE 0 END")} AS adjusted_rand,
+{_r("CASE WHEN (ha + hb) / 2 > 1e-15 THEN greatest(0, least(1, (ha + hb - hab) / ((ha + hb) / 2))) ELSE 0 END")} AS nmi, {_r("best / n")} AS purity FROM (
+SELECT (SELECT count(*) FROM pr) AS n, (SELECT count(DISTINCT {a}) FROM pr) AS n_a, (SELECT count(DISTINCT {b}) FROM pr) AS n_b, (SELECT count(*) * (count(*) - 1) / 2.0 FROM pr) AS t,
+(SELECT sum(c * (c - 1) / 2.0) FROM (SELECT count(*) AS c FROM pr GROUP BY {a}, {b})) AS j, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT count(*) AS c FROM pr GROUP BY {a})) AS ia, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT count(*) AS c FROM pr GROUP BY {b})) AS ib,
+(SELECT -sum(c / m * ln(c / m)) FROM (SELECT count(*)::DOUBLE AS c, (SELECT count(*)::DOUBLE FROM pr) AS m FROM pr GROUP BY {a})) AS ha, (SELECT -sum(c / m * ln(c / m)) FROM (SELECT count(*)::DOUBLE AS c, (SELECT count(*)::DOUBLE FROM pr) AS m FROM pr GROUP BY {b})) AS hb,
+(SELECT -sum(c / m * ln(c / m)) FROM (SELECT count(*)::DOUBLE AS c, (SELECT count(*)::DOUBLE FROM pr) AS m FROM pr GROUP BY {a}, {b})) AS hab,
+(SELECT sum(m)::DOUBLE FROM (SELECT max(c) AS m FROM (SELECT {a}, count(*) AS c FROM pr GROUP BY {a}, {b}) GROUP BY {a})) AS best)"""
+
+
+_SEEDSQL = ", seeds AS (SELECT dense_rank() OVER (ORDER BY artist_names) - 1 AS query_id, song_id FROM cat QUALIFY row_number() OVER (PARTITION BY artist_names ORDER BY song_id) <= 3)"
+_allsim = f"{_CAT}{_SEEDSQL}, sims AS (SELECT query_id, s.song_id AS seed_id, c.song_id, {_sim} AS sim FROM seeds JOIN u s USING (song_id), u c)"
+_ranked_sql = lambda score, base=_allsim: f"{base}, sc AS ({score}), rk AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, song_id) AS pos FROM sc ANTI JOIN seeds USING (query_id, song_id)) SELECT query_id, pos, song_id, {_r('score')} AS score FROM rk WHERE pos <= 10"
+_sigma = f"(VALUES {', '.join(f'({k + 1}, {s})' for k, s in enumerate(SIGMA))}) AS t(i, s)"
+_factor = "sqrt(2 * (b + 1) + 8 * b / (b + 1 + sqrt(b * b + 14 * b + 1)))"
+_means = ", ".join(f"avg(v[{k}]) AS m{k}" for k in range(1, WIDTH_B + 1))
+_mlist = "[" + ", ".join(f"m{k}" for k in range(1, WIDTH_B + 1)) + "]"
+_ASSIGN = f"{_EMB}, c AS (SELECT label AS cluster, {_mlist} AS m FROM (SELECT label, {_means} FROM e GROUP BY label)), d AS (SELECT song_id, row_number() OVER (ORDER BY cluster) AS x, (SELECT count(*) FROM c c2 WHERE c2.cluster < c.cluster) AS cluster, v, list_dot_product(v, v) - 2 * list_dot_product(v, m) + list_dot_product(m, m) AS d2 FROM e, c), best AS (SELECT song_id, v, cluster, greatest(0, d2) AS d2 FROM d QUALIFY row_number() OVER (PARTITION BY song_id ORDER BY d2, cluster) = 1)"
+
+ORACLE_SQL = {
+    "catalog_dedup": f"{_CAT} SELECT song_id, track_name, artist_names, genre, {', '.join(f'{_r(f"f{k}")} AS {FEATURES[k - 1]}' for k in _N)}, chart_appearances FROM cat",
+    "catalog_no_dedup": f"SELECT p_brand AS artist_names, count(*) AS n, {_r('sum(l_quantity)')} AS quantity, count(*) AS n_ids FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand",
+    "catalog_popularity": f"{_CAT} SELECT song_id, {_r('pop')} AS pop FROM z",
+    "catalog_describe": f"{_CAT} SELECT song_id, track_name || ' - ' || artist_names AS description FROM cat",
+    "coerce_features": f"SELECT l_returnflag, l_linestatus, count(*) AS n, count(v) AS n_numbers, {_r('coalesce(sum(v), 0)')} AS total FROM (SELECT *, CASE WHEN l_returnflag = 'R' OR l_linestatus = 'F' THEN NULL ELSE CAST(l_quantity AS DOUBLE) END AS v FROM lineitem) GROUP BY 1, 2",
+    "demo_playlist": f"{_CAT} SELECT song_id, track_name || ' - ' || artist_names AS text FROM cat WHERE artist_names = (SELECT artist_names FROM cat GROUP BY 1 ORDER BY count(*) DESC, min(song_id) LIMIT 1) ORDER BY song_id LIMIT 4",
+    "scale_zscore": f"{_CAT} SELECT song_id, {', '.join(f'{_r(f"z{k}")} AS z{k}' for k in _N)} FROM z",
+    "scale_robust": f"{_CAT}, q AS (SELECT {_join('quantile_cont(f{k}, 0.25) AS a{k}, quantile_cont(f{k}, 0.5) AS b{k}, quantile_cont(f{k}, 0.75) AS c{k}')} FROM cat) SELECT song_id, {', '.join(f'{_r(f"(f{k} - b{k}) / (CASE WHEN abs(c{k} - a{k}) < 1e-12 THEN 1 ELSE c{k} - a{k} END)")} AS z{k}' for k in _N)} FROM cat, q",
+    "scale_none": f"{_CAT} SELECT song_id, {', '.join(f'{_r(f"f{k}")} AS z{k}' for k in _N)} FROM cat",
+    "scale_inverse": f"{_CAT} SELECT song_id, {', '.join(f'{_r(f"f{k}")} AS f{k}' for k in _N)} FROM cat",
+    "gram_matrix": f"{_CAT} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {_r(f'sum(z{i}*z{j})')} AS value FROM z" for i in _N for j in range(i, D + 1)),
+    "spectrum_energy": f"{_CAT} SELECT {_r('sum(nrm * nrm)')} AS energy FROM u",
+    "svd_two_features": f"{_CAT}, g AS (SELECT sum(z1*z1) AS a, sum(z1*z2) AS b, sum(z2*z2) AS c FROM z), ev AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l1, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) AS l2 FROM g), r AS (SELECT 1 AS component, l1 AS l, a, b FROM ev UNION ALL SELECT 2, l2, a, b FROM ev) SELECT component, {_r('sqrt(l)')} AS sigma, {_r('abs(b) / sqrt(b * b + (l - a) ** 2)')} AS v1, {_r('abs(l - a) / sqrt(b * b + (l - a) ** 2)')} AS v2 FROM r",
+    "fullrank_roundtrip": f"{_CAT} SELECT song_id, {', '.join(f'{_r(f"f{k}")} AS f{k}' for k in _N)} FROM cat",
+    "whitened_energy": f"SELECT unnest(range(1, {D + 1})) AS component, 1.0::DOUBLE AS length",
+    "model_roundtrip": f"{_CAT} SELECT count(*) AS n, 0.0::DOUBLE AS gap FROM cat",
+    "rank_choices": f"WITH t AS (SELECT * FROM {_sigma}), c AS (SELECT i, s, sum(s*s) OVER (ORDER BY i) / sum(s*s) OVER () AS share, count(*) OVER () AS n, max(s) OVER () AS hi, min(s) OVER () AS lo FROM t) SELECT 'variance' AS strategy, min(i) FILTER (WHERE share >= 0.9) AS k FROM c UNION ALL SELECT 'elbow', greatest(1, arg_max(i, abs((i - 1.0) / (n - 1) + (s - lo) / (hi - lo) - 1)) - 1) FROM c UNION ALL SELECT 'gavish_known_noise', greatest(1, count(*) FILTER (WHERE s > {_factor} * 10)) FROM (SELECT s, 1.0::DOUBLE AS b FROM t)",
+    "scree": f"WITH t AS (SELECT * FROM {_sigma}) SELECT i AS component, {_r('s*s / sum(s*s) OVER ()')} AS share, {_r('sum(s*s) OVER (ORDER BY i) / sum(s*s) OVER ()')} AS cumulative FROM t",
+    "variance_shares": f"{_CAT}, v AS (SELECT {_join('var_pop(f{k}) AS v{k}')} FROM cat) " + " UNION ALL ".join(f"SELECT '{FEATURES[k - 1]}' AS feature, {_r(f'v{k}')} AS variance, {_r(f'v{k} / ({_join("v{k}", " + ")})')} AS share FROM v" for k in _N),
+    "feature_summary": f"{_CAT} " + " UNION ALL ".join(f"SELECT '{FEATURES[k - 1]}' AS feature, count(*) AS n, {_r(f'avg(f{k})')} AS mean, {_r(f'stddev_samp(f{k})')} AS sd, {_r(f'min(f{k})')} AS min, {_r(f'quantile_cont(f{k}, 0.25)')} AS q25, {_r(f'median(f{k})')} AS median, {_r(f'quantile_cont(f{k}, 0.75)')} AS q75, {_r(f'max(f{k})')} AS max FROM cat" for k in _N),
+    "cosine_topk": f"{_TOP} SELECT query_id, pos, song_id, {_r('score')} AS score FROM top",
+    "cosine_all_pairs": f"{_EMB} SELECT a.song_id AS i, b.song_id AS j, {_r('greatest(-1, least(1, list_dot_product(a.v, b.v) / (a.l * b.l)))')} AS score FROM n a, n b WHERE a.song_id < b.song_id",
+    **{f"agg_{m}": f"{_SIM} SELECT song_id, {_r('score')} AS score FROM ({sql})" for m, sql in _AGG.items()},
+    "rec_overall_top": _rec_sql(_AGG["max"]), "rec_no_cap": _rec_sql(_AGG["max"], None), "rec_mean": _rec_sql(_AGG["mean"]), "rec_borda": _rec_sql(_AGG["borda"]), "fullrank_latent_cosine": _rec_sql(_AGG["max"]),
+    "rec_rocchio": _rec_sql(f"SELECT song_id, max(sim) FILTER (WHERE place < {len(SEEDS)}) - 0.5 * max(sim) FILTER (WHERE place >= {len(SEEDS)}) AS score FROM sim GROUP BY song_id"),
+    "rec_novelty": _rec_sql(f"SELECT song_id, score - 0.1 * pop AS score FROM ({_AGG['max']}) JOIN u USING (song_id)"),
+    "rec_centroid": _centroid_sql(0.0), "rec_centroid_rocchio": _centroid_sql(0.5), "rec_mmr_relevance": _rec_sql(_AGG["max"], pool=200),
+    "explain_components": f"{_CAT}, t AS (SELECT c.song_id, k.k AS component, CASE k.k {' '.join(f'WHEN {k} THEN c.z{k} * s.z{k}' for k in _N)} END / (c.nrm * s.nrm) AS x FROM u c, u s, (SELECT unnest(range(1, {D + 1})) AS k) k WHERE s.song_id = {SEEDS[0]}) SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY abs(x) DESC, component) AS place, component, {_r('x')} AS contribution FROM t QUALIFY place <= 3",
+    "explain_score": f"{_CAT} SELECT c.song_id, {_r(_sim)} AS score FROM u c, u s WHERE s.song_id = {SEEDS[0]}",
+    "title_normalize": f"SELECT id, {_TITLE('t')} AS title FROM (SELECT p_partkey AS id, p_name || ' (Live) - Remastered 2011 feat. ' || p_brand AS t FROM part UNION ALL SELECT c_custkey, '  É' || c_name || ' - Live at ü  [x] ' FROM customer)",
+    "edit_distances": f"WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS x, b.p_name AS y, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS distance, {_r('1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name))')} AS ratio, {_r(_overlap('a.p_name', 'b.p_name'))} AS overlap FROM n a, n b WHERE a.p_name < b.p_name",
+    "fuzzy_match": f"{_MATCH} SELECT query_id, pos, song_id, {_r('score')} AS score, exact FROM found WHERE pos <= 5",
+    "exact_match": f"{_MATCH}, m AS (SELECT query_id, song_id, raw_hint <> '' AND contains(lower(artist_names), raw_hint) AS narrow FROM q JOIN songs ON q = t), f AS (SELECT *, bool_or(narrow) OVER (PARTITION BY query_id) AS has_narrow FROM m) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY song_id) AS pos, song_id FROM f WHERE narrow OR NOT has_narrow QUALIFY pos <= 5",
+    "playlist_resolve": f"{_MATCH} SELECT song_id, min(query_id) AS pos FROM found WHERE pos = 1 GROUP BY song_id",
+    "playlist_unresolved": f"{_MATCH} SELECT query_id, text FROM texts WHERE query_id NOT IN (SELECT query_id FROM found)",
+    "metric_ranking": f"{_TOP}, nr AS (SELECT a.song_id AS query_id, count(b.song_id) AS n FROM e a LEFT JOIN e b ON a.label = b.label AND a.song_id <> b.song_id GROUP BY 1), h AS (SELECT *, (la = lb)::INT AS rel, sum((la = lb)::INT) OVER (PARTITION BY query_id ORDER BY pos) AS so_far FROM top), s AS (SELECT query_id, sum(rel) AS got, min(pos) FILTER (WHERE rel = 1) AS first, sum(rel / log2(pos + 1)) AS dcg, sum(CASE WHEN rel = 1 THEN so_far / pos ELSE 0 END) AS ap FROM h GROUP BY 1) SELECT query_id, (CASE WHEN got > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit_rate, {_r('got / 10.0')} AS precision, {_r('CASE WHEN n > 0 THEN got::DOUBLE / n ELSE 0 END')} AS recall, {_r('coalesce(1.0::DOUBLE / first, 0)')} AS mrr, {_r('CASE WHEN n > 0 THEN dcg / (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, 11)) AS i) WHERE i <= n) ELSE 0 END')} AS ndcg, {_r('CASE WHEN n > 0 THEN ap / least(n, 10) ELSE 0 END')} AS average_precision FROM s JOIN nr USING (query_id)",
+    "metric_diversity": f"{_TOP}, w AS (SELECT query_id, pos, v, l FROM top JOIN n USING (song_id)) SELECT a.query_id, {_r('1 - avg(greatest(-1, least(1, list_dot_product(a.v, b.v) / (a.l * b.l))))')} AS diversity FROM w a JOIN w b ON a.query_id = b.query_id AND a.pos < b.pos GROUP BY 1",
+    "metric_entropy": f"{_TOP}, c AS (SELECT query_id, lb, count(*) AS c FROM top GROUP BY 1, 2) SELECT query_id, {_r('-sum(c / 10.0 * log2(c / 10.0))')} AS entropy FROM c GROUP BY 1",
+    "metric_coverage": f"{_TOP} SELECT {_r('count(DISTINCT song_id)::DOUBLE / (SELECT count(*) FROM e)')} AS coverage FROM top",
+    "metric_novelty": f"{_CAT}, top AS (SELECT s.song_id AS query_id, c.song_id, c.pop, row_number() OVER (PARTITION BY s.song_id ORDER BY {_sim} DESC, c.song_id) AS pos FROM u c, u s WHERE c.song_id <> s.song_id QUALIFY pos <= 10) SELECT query_id, {_r('avg(-log2(greatest(pop, 0.001)))')} AS novelty FROM top GROUP BY 1",
+    "rank_popularity": _ranked_sql("SELECT query_id, u.song_id, pop AS score FROM (SELECT DISTINCT query_id FROM seeds), u", f"{_CAT}{_SEEDSQL}"),
+    "rank_raw": _ranked_sql("SELECT query_id, song_id, max(sim) AS score FROM sims GROUP BY 1, 2"),
+    "rank_mean": _ranked_sql("SELECT query_id, song_id, avg(sim) AS score FROM sims GROUP BY 1, 2"),
+    "rank_borda": _ranked_sql("SELECT query_id, song_id, sum(n + 1 - r)::DOUBLE AS score FROM (SELECT *, count(*) OVER (PARTITION BY query_id, seed_id) AS n, row_number() OVER (PARTITION BY query_id, seed_id ORDER BY sim DESC, song_id) AS r FROM sims) GROUP BY 1, 2"),
+    "holm": f"WITH t AS (SELECT * FROM (VALUES {', '.join(f"('{s}', {p}::DOUBLE)" for s, p in P_VALUES)}) AS t(system, p)), a AS (SELECT system, max(least(1, (n - r + 1) * p)) OVER (ORDER BY p, system) AS x FROM (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY p, system) AS r FROM t)) SELECT system, {_r('x')} AS adjusted_p, x < 0.05 AS significant FROM a",
+    "kmeans_assign": f"{_ASSIGN} SELECT song_id, cluster, {_r('d2')} AS d2 FROM best",
+    "kmeans_lloyd_step": f"{_ASSIGN} SELECT cluster, {_r('(SELECT sum(d2) FROM best)')} AS inertia, {_r('avg(list_sum(v))')} AS coordinates FROM best GROUP BY cluster",
+    "silhouette": f"{_EMB}, p AS (SELECT a.song_id, a.label AS la, b.label AS lb, sqrt(greatest(0, list_dot_product(a.v, a.v) - 2 * list_dot_product(a.v, b.v) + list_dot_product(b.v, b.v))) * (a.song_id <> b.song_id)::INT AS d FROM e a, e b), m AS (SELECT song_id, la, lb, CASE WHEN la = lb THEN sum(d) / greatest(count(*) - 1, 1) ELSE avg(d) END AS d, count(*) AS c FROM p GROUP BY 1, 2, 3), s AS (SELECT song_id, max(d) FILTER (WHERE la = lb) AS i, max(c) FILTER (WHERE la = lb) AS c, min(d) FILTER (WHERE la <> lb) AS o FROM m GROUP BY 1) SELECT {_r('avg(CASE WHEN c > 1 AND greatest(i, o) > 0 THEN (o - i) / greatest(i, o) ELSE 0 END)')} AS score FROM s",
+    "contingency": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2",
+    "confusion_pivot": f"SELECT lang, count(*) FILTER (WHERE quality = 0) AS q0, count(*) FILTER (WHERE quality = 1) AS q1 FROM ({_PAIRS}) GROUP BY 1",
+    "agreement": f"WITH pr AS ({_PAIRS}) " + " UNION ALL ".join(_agreement_sql(a, b) for a, b in (("quality", "toxic"), ("lang", "quality"), ("toxic", "lang"))),
+    "confusion_shares": f"SELECT lang, quality, n, {_r('n / sum(n) OVER (PARTITION BY lang)')} AS share, arg_max(quality, (n, quality)) OVER (PARTITION BY lang) AS dominant FROM (SELECT lang, quality, count(*) AS n FROM ({_PAIRS}) GROUP BY 1, 2)",
+}
