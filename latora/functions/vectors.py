@@ -42,7 +42,7 @@ def unit(a: Column, width: int) -> Column:
 def cosine(a: Column, b: Column, width: int) -> Column:
     """Cosine in [-1, 1]; 0 where a vector is shorter than ``TINY``."""
     na, nb = norm(a, width), norm(b, width)
-    return F.when((na < TINY) | (nb < TINY), 0.0).otherwise(clip(dot(a, b, width) / (na * nb)))
+    return F.when((na < TINY) | (nb < TINY), 0.0).otherwise(clip(F.try_divide(dot(a, b, width), na * nb)))
 
 
 def linear(a: Column, rows: Sequence[Sequence[float]], shift: Sequence[float] | None = None) -> Column:

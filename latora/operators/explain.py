@@ -7,23 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from latora.functions.vectors import TINY, dot, norm
+from latora.functions.vectors import TINY, clip, dot, norm
 
 WEAK = "matched weakly; no single latent axis dominates"
 
 
 def similarity_score(query: Column, candidate: Column, width: int) -> Column:
     nq, nr = norm(query, width), norm(candidate, width)
-    return F.when((nq < TINY) | (nr < TINY), 0.0).otherwise(F.greatest(F.least(dot(query, candidate, width) / (nq * nr), F.lit(1.0)), F.lit(-1.0)))
+    return F.when((nq < TINY) | (nr < TINY), 0.0).otherwise(clip(F.try_divide(dot(query, candidate, width), nq * nr)))
 
 
 def contributions(query: Column, candidate: Column, width: int, top_n: int = 3, descriptions: Sequence[str] | None = None) -> Column:
     """The top_n components by size of their share of the cosine; none where a vector vanishes."""
     nq, nr = norm(query, width), norm(candidate, width)
+    safe_q, safe_r = F.when(nq < TINY, 1.0).otherwise(nq), F.when(nr < TINY, 1.0).otherwise(nr)
     described = descriptions or [f"component {k + 1}" for k in range(width)]
 
     def term(k: int) -> Column:
-        q, r = query[k] / nq, candidate[k] / nr
+        q, r = query[k] / safe_q, candidate[k] / safe_r
         return F.struct((-F.abs(q * r)).alias("order"), F.lit(k + 1).alias("component"), (q * r).alias("contribution"), q.alias("query_coordinate"), r.alias("candidate_coordinate"), F.lit(described[k]).alias("description"))
 
     terms = F.slice(F.array_sort(F.array(*(term(k) for k in range(width)))), 1, max(top_n, 0)) if top_n > 0 else F.array()
