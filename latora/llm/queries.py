@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latora.llm import decontaminate, license_scan, packing, pii, quality_resample, quality_rules, secret_scan, sharding, simhash_dedup, url_filter
+from latora.llm import decontaminate, license_scan, oracle, packing, pii, quality_resample, quality_rules, secret_scan, sharding, simhash_dedup, url_filter
 from latora.llm.common import table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("class_divergence", "word_divergence")})
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +78,4 @@ QUERIES = {
     "op10_virtual_slots": op10_virtual_slots,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_decontaminate": oracle.OP1, "op7_url_filter": oracle.OP7, "op9_quality_rules": oracle.OP9}

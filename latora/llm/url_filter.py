@@ -152,4 +152,4 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = HOST_RU
         name = F.when(F.col("rule_number") == k, host + path).otherwise(name)
         verdict = F.when(F.col("rule_number") == k, says).otherwise(verdict)
     glob = F.when(F.col("glob_number") >= 0, F.get(F.array(*map(F.lit, block_globs)), F.col("glob_number"))) if block_globs else F.lit(None).cast("string")
-    return judged.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"), glob.alias("glob"))
+    return judged.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"), glob.alias("glob_rule"))
