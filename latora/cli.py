@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latora import __version__
+from latora.console import Console, metrics_table
 from latora.functions.ranking import durable
 from latora.operators import analysis, cluster, evaluate
 from latora.operators.model import LatentModel, fit_latent_model
@@ -101,8 +102,9 @@ def rows_of(df: DataFrame) -> list[dict]:
 
 
 def say(args: argparse.Namespace, *lines: str) -> None:
-    if not args.quiet and not args.json:
-        print(*lines, sep="\n")
+    console = Console(args.quiet or args.json)
+    for line in lines:
+        console.print(line)
 
 
 def ids_of(spark: SparkSession, songs: DataFrame, texts: Sequence[str], exact: bool) -> tuple[list[int], list[str]]:
@@ -135,7 +137,7 @@ def recommend(spark: SparkSession, args: argparse.Namespace) -> int:
         return 0
     say(args, str(model.selection))
     for strategy, rows in results.items():
-        print(f"\n{strategy}")
+        Console().header(f"\n{strategy}")
         for r in rows:
             print(f"{r['pos']:3d}  {r['score']:.3f}  {r['track_name']} - {r['artist_names']}" + (f"\n       {r['summary']}" if args.explain else ""))
     return 0
@@ -153,7 +155,7 @@ def analyze(spark: SparkSession, args: argparse.Namespace) -> int:
         return 0
     say(args, str(model.selection), *(f"{name}: {k}" for name, k in ranks.items()))
     for r in analysis.scree(spark, model.full_spectrum).collect():
-        print(f"{r.component:2d}  {r.sigma:10.3f}  {100 * r.share:5.1f}%  {100 * r.cumulative:5.1f}%  {'#' * round(40 * r.share)}")
+        print(f"{r.component:2d}  {r.sigma:10.3f}  {100 * r.share:5.1f}%  {100 * r.cumulative:5.1f}%  {Console().bar(r.share)}")
     for c in range(model.k):
         print(f"LF{c + 1}: {model.describe_component(c + 1)}")
     return 0
@@ -177,9 +179,7 @@ def run_evaluation(spark: SparkSession, args: argparse.Namespace) -> int:
         protocol = {"group_by": args.group_by, "seed_size": args.seed_size, "min_group_size": args.min_group_size, "k": args.at_k}
         print(json.dumps({"protocol": protocol, "systems": systems, "ci": rows_of(evaluate.bootstrap_ci(scores)), "paired_tests_vs_raw_cosine": tests}))
         return 0
-    print(f"{'system':16s}" + "".join(f"{m[:10]:>11s}" for m in METRICS))
-    for r in systems:
-        print(f"{r['system']:16s}" + "".join(f"{r[m]:11.4f}" for m in METRICS))
+    print(metrics_table(systems, METRICS, args.at_k))
     for t in tests:
         print(f"{t['system']:16s} {t['difference']:+.4f} [{t['low']:+.4f}, {t['high']:+.4f}] p={t['p']:.4f} adjusted={t['adjusted_p']:.4f}")
     return 0

@@ -74,6 +74,14 @@ def similarity_ratio(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def levenshtein(a: Column, b: Column, max_distance: int | None = None) -> Column:
+    """Edit distance in code points; distances over ``max_distance`` count as one more than it."""
+    if max_distance is None:
+        return F.levenshtein(a, b)
+    found = F.levenshtein(a, b, max_distance)
+    return F.when(found < 0, max_distance + 1).otherwise(found)
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Shared distinct words over those of the string with fewer; 0 if either has none."""
     words = lambda c: F.array_remove(F.array_distinct(F.split(c, r"\s+")), "")

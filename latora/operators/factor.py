@@ -141,8 +141,14 @@ def _randomized(df: DataFrame, width: int, k: int, seed: int | None, features: s
     return sigma, small @ basis.T
 
 
-def symmetric_eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues, descending, and eigenvectors as columns, of a small symmetric matrix."""
+def symmetric_eigen(matrix: np.ndarray, method: str = "qr") -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, descending, and eigenvectors as columns, of a small symmetric matrix.
+
+    ``qr`` is LAPACK's tridiagonal reduction; ``jacobi`` rotates pairs of columns until all
+    are orthogonal.
+    """
+    if method not in ("qr", "jacobi"):
+        raise ValueError(f"unknown method {method!r}")
     matrix = np.asarray(matrix, float)
     if matrix.ndim != 2 or matrix.shape[0] != matrix.shape[1]:
         raise ValueError("matrix must be square")
@@ -150,10 +156,31 @@ def symmetric_eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError("matrix must be finite")
     if np.abs(matrix - matrix.T).max(initial=0.0) > 1e-8 * max(1.0, np.abs(matrix).max(initial=0.0)):
         raise ValueError("matrix must be symmetric")
-    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
+    matrix = (matrix + matrix.T) / 2
+    if method == "jacobi":
+        return _jacobi(matrix)
+    values, vectors = np.linalg.eigh(matrix)
     return values[::-1], vectors[:, ::-1]
 
 
+def _jacobi(matrix: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Rotations that zero one pair of entries at a time, over all pairs in each sweep."""
+    a, v = matrix.copy(), np.eye(len(matrix))
+    limit = len(a) * np.finfo(float).eps * np.linalg.norm(a)
+    for _ in range(sweeps):
+        if np.sqrt(2) * np.linalg.norm(np.triu(a, 1)) <= limit:
+            break
+        for i, j in zip(*np.triu_indices(len(a), 1)):
+            if a[i, j]:
+                angle = 0.5 * np.arctan2(2 * a[i, j], a[j, j] - a[i, i])
+                turn = np.array([[np.cos(angle), np.sin(angle)], [-np.sin(angle), np.cos(angle)]])
+                a[:, [i, j]] = a[:, [i, j]] @ turn
+                a[[i, j]] = turn.T @ a[[i, j]]
+                v[:, [i, j]] = v[:, [i, j]] @ turn
+    order = np.argsort(-np.diag(a), kind="stable")
+    return np.diag(a)[order], v[:, order]
+
+
 def qr(matrix: np.ndarray, method: str = "householder") -> tuple[np.ndarray, np.ndarray]:
     """QR of a small matrix: by Householder reflections, or by modified Gram-Schmidt."""
     matrix = np.asarray(matrix, float)

@@ -81,3 +81,26 @@ def test_fetch(tmp_path):
     assert fetch.fetch(str(other), path.as_uri()) == 0 and other.read_text() == good
     path.write_text("a,b\n")
     assert not fetch.validate_csv(str(path))[0] and fetch.fetch(str(tmp_path / "x.csv"), path.as_uri()) == 1
+
+
+def test_capped_distance(spark):
+    df = spark.createDataFrame([("kitten", "sitting"), ("flaw", "lawn"), ("abc", "")], "a string, b string")
+    assert [r[0] for r in df.select(text.levenshtein(F.col("a"), F.col("b"))).collect()] == [3, 2, 3]
+    assert [r[0] for r in df.select(text.levenshtein(F.col("a"), F.col("b"), 2)).collect()] == [3, 2, 3]
+    assert [r[0] for r in df.select(text.levenshtein(F.col("a"), F.col("b"), 1)).collect()] == [2, 2, 2]
+
+
+def test_console(monkeypatch):
+    import io
+
+    from latora.console import Console, metrics_table, sign
+
+    out = io.TextIOWrapper(io.BytesIO(), encoding="ascii")
+    assert sign("ok", out) == "+"
+    Console(stream=out).header("café")
+    Console(quiet=True, stream=out).ok("nothing")
+    out.flush()
+    assert out.buffer.getvalue() == b"caf?\n----\n"
+    monkeypatch.setenv("LATORA_ASCII", "1")
+    assert sign("bar") == "#"
+    assert "ndcg@5" in metrics_table([{"system": "a", "ndcg": 0.5, "mrr": 1.0}], ["ndcg", "mrr"], 5)

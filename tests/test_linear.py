@@ -95,3 +95,12 @@ def test_model(spark, tmp_path):
         model.loadings(5)
     with pytest.raises(ValueError):
         fit_latent_model(df, names, 0)
+
+
+@pytest.mark.parametrize("method", ["qr", "jacobi"])
+def test_symmetric_eigen(method):
+    a = np.random.default_rng(8).standard_normal((7, 7))
+    a = a + a.T
+    values, vectors = factor.symmetric_eigen(a, method)
+    assert np.allclose(values, np.linalg.eigvalsh(a)[::-1]) and np.allclose(vectors @ np.diag(values) @ vectors.T, a)
+    assert np.allclose(factor.symmetric_eigen(np.zeros((3, 3)), method)[0], 0)
