@@ -254,9 +254,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(docs, id_col, text_col)
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    keep = found.groupBy(group.alias("group")).agg(first.alias("k")).select(F.struct(F.coalesce("k.doc_id", F.lit(0)).alias("i"), "k.no_id", F.col("k.text_hash").alias("h")).alias("key"))
-    key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(F.col(text_col)).alias("h"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"))
-    once = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
-    kept = rows.join(keep, "key").withColumn("once", once).filter("once = 1")
+    # plain key columns without nulls: the join's partitioning then also serves the window
+    keys = ["i", "no_id", "h"]
+    keep = found.groupBy(group.alias("group")).agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(0)).alias("i"), F.col("k.no_id").alias("no_id"), F.coalesce("k.text_hash", F.lit(0)).alias("h"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(F.col(text_col)).alias("h"), row)
+    once = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
+    # a key is one row of three numbers in ``keep``, so hashing that side spares a sort of the texts
+    kept = rows.join(keep.hint("shuffle_hash"), keys).withColumn("once", once).filter("once = 1")
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
