@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +30,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch. Batches are counted in rows, and texts are long: at the engine's
+#: default of 10,000 a batch of documents takes tens of MB, several times over, in each task.
+BATCH_ROWS = 1000
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows, a setting of the session from here on."""
+    spark = df.sparkSession
+    reachable(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def row_slices(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of a few rows, so that per-word lists stay small."""
     for batch in batches:

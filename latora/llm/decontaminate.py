@@ -32,12 +32,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latora.llm.common import row_slices, utf8
+from latora.llm.common import map_batches, row_slices, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
 SHARD_SYMBOLS = 1 << 20
-SHARD_TEXT = 32 << 20
+SHARD_TEXT = 4 << 20
 SAMPLE = 8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FOUND = "doc_id long, n_words long, n_hit long, items array<string>, n_items long, spans array<struct<start:long,end:long>>"
@@ -279,17 +279,20 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Rows of one shard's text at a time."""
-    for part in row_slices(batches, 4096):
-        texts = [utf8(t) for t in part.column("text").to_pylist()]
-        at = size = 0
-        for k, text in enumerate(texts):
-            size += len(text)
-            if size >= SHARD_TEXT:
-                yield part.slice(at, k + 1 - at), texts[at : k + 1]
-                at, size = k + 1, 0
-        if at < len(texts):
-            yield part.slice(at), texts[at:]
+    """Rows of one shard at a time: batches until their texts come to ``SHARD_TEXT`` bytes."""
+    held: list[pa.RecordBatch] = []
+    texts: list[bytes] = []
+    size = 0
+    for part in row_slices(batches):
+        own = [utf8(t) for t in part.column("text").to_pylist()]
+        held.append(part)
+        texts += own
+        size += sum(map(len, own))
+        if size >= SHARD_TEXT:
+            yield pa.concat_batches(held), texts
+            held, texts, size = [], [], 0
+    if texts:
+        yield pa.concat_batches(held), texts
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -314,7 +317,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             arrays = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_items, pa.int64()), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "items", "n_items", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, FOUND)
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -361,7 +364,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(kept, pa.string()), pa.array(changed), pa.array(emptied)], names=["row", *names.values()])
 
     schema = f"row {packed.schema['row'].dataType.simpleString()}, {names['text']} string, {names['changed']} boolean, {names['empty']} boolean"
-    cut = packed.mapInArrow(run, schema).filter(f"NOT {names['empty']}")
+    cut = map_batches(packed, run, schema).filter(f"NOT {names['empty']}")
 
     def column(c: str):
         old = F.col(f"row.`{c}`")

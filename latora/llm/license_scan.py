@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latora.llm.common import row_slices, utf8
+from latora.llm.common import map_batches, row_slices, utf8
 
 K = 3
 WINDOW = 3
@@ -198,4 +198,4 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
                 rows.append([{"license": n, "start": points(at[s][0]), "end": points(at[e - 1][1]), "coverage": c} for n, s, e, c in matches])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, _MATCHES)], names=["doc_id", "matches"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, FOUND)
+    return map_batches(docs.select(F.col(id_col).cast("long"), text_col), run, FOUND)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latora.llm.common import row_slices
+from latora.llm.common import map_batches, row_slices
 
 SEQUENCE = 2048
 END_ID = 1
@@ -63,12 +63,11 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         # the same model for lists of lower-cased words of Latin-1 letters: nothing to normalise
-        self.by_space = Tokenizer.from_file(path)
-        self.by_space.normalizer = normalizers.Sequence([])
+        self.by_space = Tokenizer(self.tokenizer.model)
         self.by_space.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -250,4 +249,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     yield from packer.flush()
         yield from packer.flush()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, PIECES)
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), run, PIECES)

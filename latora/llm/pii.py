@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latora.llm.common import row_slices
+from latora.llm.common import map_batches, row_slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -293,5 +293,5 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found = [[{"kind": KINDS[k], "start": s, "end": e, "base": b} for k, s, e, b in find_spans(t or "", shared.value)] for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, _SPANS)], names=["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, FOUND)
+    return map_batches(docs.select(F.col(id_col).cast("long"), text_col), run, FOUND)
 

@@ -25,17 +25,16 @@ are kept by ``keep_documents`` and ignored by ``select_documents``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latora.llm.common import checkpointed, row_slices, utf8
+from latora.llm.common import checkpointed, map_batches, row_slices, utf8
 
 BUCKETS = 1 << 14
 TARGET_SAMPLE = 20_000
@@ -86,7 +85,7 @@ def bucket_counts(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", t
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
-    sums = marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    sums = map_batches(marked, run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in sums:
         raw[r.bucket], target[r.bucket] = r.raw, r.target
@@ -114,22 +113,22 @@ def gumbel(*by: Column | str, seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
-def log_weight(ratio: Broadcast) -> Callable[[Column], Column]:
-    """A function of a text column: the tempered log of its likelihood ratio."""
-
-    @F.pandas_udf("double")
-    def weigh(texts: pd.Series) -> pd.Series:
-        found = (buckets(utf8(t)) for t in texts)
-        return pd.Series([TEMPER * float(ratio.value[b].sum()) / max(1.0, len(b) ** 0.5) for b in found], dtype="float64")
-
-    return weigh
+def with_scores(docs: DataFrame, ratio: Broadcast, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """(doc_id, text_hash, log_weight, key) of every row, with the tempered log of its likelihood ratio; and the row itself on demand."""
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")]
+    if keep_row:
+        columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = docs.select(*columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in row_slices(batches, 1024):
+            found = (buckets(utf8(t)) for t in part.column("text").to_pylist())
+            weights = [TEMPER * float(ratio.value[b].sum()) / max(1.0, len(b) ** 0.5) for b in found]
+            kept = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(weights, pa.float64())], names=[*kept, "log_weight"])
 
-def with_scores(docs: DataFrame, ratio: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, log_weight, key) of every row, and the row itself as a struct."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), log_weight(ratio)(F.col(text_col)).alias("log_weight"), row)
-    return rows.withColumn("key", F.col("log_weight") + gumbel("doc_id"))
+    schema = "doc_id long, text_hash long" + (f", row {rows.schema['row'].dataType.simpleString()}" if keep_row else "") + ", log_weight double"
+    return map_batches(rows, run, schema).withColumn("key", F.col("log_weight") + gumbel("doc_id"))
 
 
 def _ordinal(x: Column) -> Column:
@@ -171,7 +170,7 @@ def _cut(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample:
     targets = checkpointed(target_ids(labels, sample))
     raw, target = bucket_counts(docs, targets, id_col, text_col)
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(raw, target))
-    scored = checkpointed(_with_target(with_scores(docs, ratio, id_col, text_col).drop("row"), targets, "doc_id").drop("__target_id"))
+    scored = checkpointed(_with_target(with_scores(docs, ratio, id_col, text_col), targets, "doc_id").drop("__target_id"))
     least = scored.filter("__held_out").agg(F.percentile("log_weight", F.lit(MISSED))).first()[0]
     if least is None or not ratio.value.any():
         return ratio, scored, F.lit(True)
@@ -193,5 +192,5 @@ def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Texts are weighed again as they pass, which costs one more reading and no shuffle of texts.
     """
     ratio, _, top = _cut(docs, labels, id_col, text_col, sample)
-    kept = with_scores(docs, ratio, id_col, text_col).filter(top)
+    kept = with_scores(docs, ratio, id_col, text_col, keep_row=True).filter(top)
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latora.llm.common import row_slices, utf8
+from latora.llm.common import map_batches, row_slices, utf8
 
 WINDOW = 5
 MIN_BASE_WORDS = 10
@@ -130,7 +130,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(x[some])], names=["lang", "bin", "n"])
 
     out: dict = defaultdict(lambda: np.zeros(N_CLASSES + _OTHER + 1))
-    counted = docs.select(text_col, lang_col).mapInArrow(run, "lang string, bin long, n long")
+    counted = map_batches(docs.select(text_col, lang_col), run, "lang string, bin long, n long")
     for r in counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
         out[r.lang][r.bin] = r.n
     return {lang: (x[:N_CLASSES], x[N_CLASSES:]) for lang, x in out.items() if x[:N_CLASSES].sum() and x[N_CLASSES:].sum()}
@@ -160,7 +160,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             columns = [pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[f.split()[0] for f in RULES.split(", ")])
 
-    judged = docs.select(F.col(id_col).cast("long"), text_col, lang_col).mapInArrow(run, RULES)
+    judged = map_batches(docs.select(F.col(id_col).cast("long"), text_col, lang_col), run, RULES)
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     odd = (F.coalesce("class_divergence", F.lit(0.0)) > MAX_CLASS_DIVERGENCE) | (F.coalesce("word_divergence", F.lit(0.0)) > MAX_WORD_DIVERGENCE)
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latora.llm.common import checkpointed, row_slices, utf8
+from latora.llm.common import checkpointed, map_batches, row_slices, utf8
 from latora.llm.components import components
 
 SHINGLE = 4
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(utf8(t)) for t in part.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return map_batches(docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)), run, "doc_id long, text_hash long, fp long")
 
 
 def _apart(a: np.ndarray, b) -> np.ndarray:
@@ -230,7 +230,7 @@ def fingerprint_links(classes: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
     bands = F.array(*(F.struct(F.lit(n).cast("long").alias("band"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value")) for n, (low, width) in enumerate(BANDS)))
     shards = classes.select("fp", F.explode(bands).alias("x")).select((F.shiftleft(F.col("x.band"), 16) + F.col("x.value")).alias("shard"), "fp", F.lit(True).alias("home"))
     shards = _split_hot(shards, cap)
-    return shards.repartition("shard").sortWithinPartitions("shard").mapInArrow(_search, "a long, b long")
+    return map_batches(shards.repartition("shard").sortWithinPartitions("shard"), _search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = SHARD_CAP) -> DataFrame:

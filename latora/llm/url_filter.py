@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latora.llm.common import row_slices
+from latora.llm.common import map_batches, row_slices
 
 #: (verdict, host, path)
 HOST_RULES = (
@@ -146,7 +146,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = HOST_RU
             text = lambda x: pa.array([b.decode("utf-8", "surrogatepass") for b in x], pa.string())
             yield pa.RecordBatch.from_arrays([part.column(0), text(h for h, _ in split), text(p for _, p in split), pa.array(rule), pa.array(glob)], names=["page_id", "host", "path", "rule_number", "glob_number"])
 
-    judged = pages.select(F.col(id_col).cast("long"), url_col).mapInArrow(run, JUDGED)
+    judged = map_batches(pages.select(F.col(id_col).cast("long"), url_col), run, JUDGED)
     name, verdict = F.lit(None).cast("string"), F.when(F.col("glob_number") >= 0, "block").otherwise("allow")
     for k, (says, host, path) in enumerate(rules):
         name = F.when(F.col("rule_number") == k, host + path).otherwise(name)
