@@ -228,10 +228,19 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _let_go(handle: Broadcast, blocks: list[Broadcast] | range) -> None:
+    """Drop this process's copy of one of several blocks; the next use reads it from disk again."""
+    if len(blocks) > 1:
+        vars(handle).pop("_value", None)
+
+
 class Finder:
-    """Searches texts shard by shard, in one block of windows after another."""
+    """Searches texts shard by shard, in one block of windows after another.
+
+    With several blocks, each is read again for each shard, so that a worker holds one.
+    """
 
-    def __init__(self, blocks: list[Windows]):
+    def __init__(self, blocks: list[Broadcast]):
         self.blocks = blocks
 
     def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list]]:
@@ -239,14 +248,16 @@ class Finder:
         count = [0] * len(texts)
         spans: list[list] = [[] for _ in texts]
         items: list[set] = [set() for _ in texts]
-        for block in self.blocks:
+        for handle in self.blocks:
+            block = handle.value
+            _let_go(handle, self.blocks)
             get = block.vocabulary.get
             shard = Shard(block)
 
-            def settle(shard):
+            def settle(shard: Shard) -> None:
                 for doc, hits in shard.search().items():
                     spans[doc] += [(s, e) for s, e, _ in hits]
-                    items[doc].update((block.items[i],) for _, _, own in hits for i in own)
+                    items[doc].update((shard.windows.items[i],) for _, _, own in hits for i in own)
 
             for doc, text in enumerate(texts):
                 words = WORD.findall(text.lower())
@@ -275,6 +286,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     for k in range(n):
         part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         out.append(context.broadcast(Windows([tuple(r) for r in part.collect()], window)))
+        _let_go(out[-1], range(n))
     return out
 
 
@@ -300,7 +312,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = benchmark_blocks(benchmark, item_col, item_text, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder([b.value for b in blocks])
+        finder = Finder(blocks)
         for part, texts in _shards(batches):
             n_words, n_hit, items, n_items, spans = [], [], [], [], []
             for text, (n, hits, own) in zip(texts, finder.search(texts)):
@@ -343,7 +355,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder([b.value for b in blocks])
+        finder = Finder(blocks)
         for part, texts in _shards(batches):
             old = part.column("text").to_pylist()
             new: list = [None] * len(texts)

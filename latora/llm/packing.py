@@ -3,13 +3,13 @@
 A piece of n tokens costs ``LINEAR * n + QUADRATIC * n * n``: the feed-forward work plus
 attention within the piece. Documents are cut where they exceed a sequence; the pieces of a
 window go, by descending cost, each to the cheapest sequence that still has room for it. What
-fits nowhere whole is cut and fills the remaining room, so that all sequences of a window but
-the last are full.
+fits nowhere whole is cut and fills the remaining room.
 
 The work is local to a partition: texts are tokenised and packed where they are read, nothing
 is shuffled, and a retried task gives the same rows again. A task holds the tokens of one
-window (``WINDOW_TOKENS``). What is left of a window, less than one sequence, opens the next
-one, so only the last sequence of a partition is short, and padded.
+window (``WINDOW_TOKENS``). What is left of a window, less than one sequence, is packed with the
+next one. What is left of a partition is dealt into sequences whose lengths are powers of two,
+which need no padding; all others are full.
 
 Defined cases: a null text is an empty one and gives one piece, the end token alone; repeated
 rows are packed as separate documents; a text of any length is cut; an empty table gives no
@@ -186,12 +186,16 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("token_ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("piece_cost", pa.float64())])
 
 
+def powers_of_two(n: int) -> list[int]:
+    """The powers of two that add up to n, the largest first."""
+    return [1 << k for k in reversed(range(n.bit_length())) if n >> k & 1]
+
+
 class _Packer:
-    """Windows of one partition. An open sequence passes from each window to the next."""
+    """Windows of one partition. What fills no whole sequence passes from each window to the next."""
 
     def __init__(self, partition: int):
         self.next_id = partition << 40
-        self.open: tuple[int, int, float] | None = None  # id, tokens, cost
         self.docs: list[tuple] = []
         self.tokens = 0
 
@@ -200,32 +204,23 @@ class _Packer:
         self.docs.append((doc_id, ids, start, n if total is None else total))
         self.tokens += n
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.docs:
-            return
-        ids, used, costs = [], [], []
-        if self.open:
-            ids, used, costs = [self.open[0]], [self.open[1]], [self.open[2]]
-        need = self.tokens - sum(SEQUENCE - u for u in used)
-        new = max(0, -(-need // SEQUENCE))
-        ids += range(self.next_id, self.next_id + new)
-        used += [0] * new
-        costs += [0.0] * new
-        self.next_id += new
-        room = [SEQUENCE - u for u in used]
-        slack = sum(room) - self.tokens
-        if len(room) and slack:
-            room[-1] -= slack  # the last sequence stays open, by at most one sequence's room
-        placed = pack_window([len(d[1]) // 4 for d in self.docs], room, costs)
-        assert not any(room)
+    def flush(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        docs, full, rest = self.docs, *divmod(self.tokens, SEQUENCE)
+        room = [SEQUENCE] * full + (powers_of_two(rest) if last else [rest][:rest])
+        fill = [0] * len(room)
+        placed = pack_window([len(d[1]) // 4 for d in docs], room, [0.0] * len(room))
         placed.sort(key=lambda p: (p[3], p[0], p[1]))
-        rows, fill = [], list(used)
-        for doc, at, n, s in placed:
-            doc_id, raw, start, total = self.docs[doc]
-            rows.append((doc_id, start + at, n, raw[4 * at : 4 * (at + n)], total, ids[s], fill[s], piece_cost(n)))
-            fill[s] += n
-        self.open = (ids[-1], fill[-1], costs[-1]) if ids and fill[-1] < SEQUENCE else None
         self.docs, self.tokens = [], 0
+        rows = []
+        for doc, at, n, s in placed:
+            doc_id, raw, start, total = docs[doc]
+            ids = raw[4 * at : 4 * (at + n)]
+            if s < full or last:
+                rows.append((doc_id, start + at, n, ids, total, self.next_id + s, fill[s], piece_cost(n)))
+                fill[s] += n
+            else:
+                self.add(doc_id, ids, start + at, total)
+        self.next_id += len(room) if last else full
         yield from _batches(rows, _ARROW)
 
 
@@ -247,6 +242,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 packer.add(doc_id, ids + end)
                 if packer.tokens >= WINDOW_TOKENS:
                     yield from packer.flush()
-        yield from packer.flush()
+        yield from packer.flush(last=True)
 
     return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), run, PIECES)

@@ -238,11 +238,14 @@ def packed_rightly(spark, docs, pieces):
     return [sum(r.length for r in rs) for rs in by_sequence.values()]
 
 
-def test_packing(spark, odd, monkeypatch):
+@pytest.mark.parametrize("window", [1, 5000, packing.WINDOW_TOKENS])
+def test_packing(spark, odd, monkeypatch, window):
+    monkeypatch.setattr(packing, "WINDOW_TOKENS", window)
     special = frame(spark, ["<|endoftext|> A<|ENDOFTEXT|>b it's WE'LL ǅ ﬁ é é ΑΣ 12ab ab12 --x--", "don't THE İstanbul"], [50, 51])
     docs = odd.unionByName(special).coalesce(1)
+    assert packing.powers_of_two(1347) == [1024, 256, 64, 2, 1] and packing.powers_of_two(0) == []
     fill = packed_rightly(spark, docs, packing.pack(docs))
-    assert sum(f < packing.SEQUENCE for f in fill) <= 1
+    assert all(f & (f - 1) == 0 for f in fill) and sum(f < packing.SEQUENCE for f in fill) <= 11
     assert packing.pack(odd.limit(0)).count() == 0
 
 
