@@ -145,3 +145,11 @@ def test_stream_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.title, r.n) for r in spark.table("titles").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_best_reduced(spark):
+    from latora.operators.analysis import best_reduced
+
+    rows = [("raw_cosine", 0.5), ("svd_k9", 0.5), ("svd_k3", 0.2), ("svd_k2", 0.3)]
+    found = best_reduced(spark.createDataFrame(rows, "system string, ndcg double"), "svd_k9")
+    assert found == {"best": "svd_k2", "ndcg": 0.3, "full_rank_gap": 0.0}
