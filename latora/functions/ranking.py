@@ -19,18 +19,18 @@ def durable(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
     """Rows numbered from 0 in the order of column ``by``, whatever their number.
 
-    Rows are dealt by ranges and numbered within each; the ranges' counts, one row a task,
-    give the starts. The dealt rows are kept durably, as a second dealing could differ.
+    Rows are dealt by ranges and sorted within each; a row's id then tells its range and its
+    place there. The ranges' counts, one row a task, give the starts. The dealt rows are kept
+    durably, as a second dealing could differ.
     """
-    dealt = durable(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_part", F.spark_partition_id()))
-    counts = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())
+    dealt = durable(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_place", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_place", 33).cast("int"), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     starts, at = [], 0
-    for part, n in counts:
-        starts.append((part, at))
-        at += n
-    first = F.broadcast(df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _first long"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(by))
-    return dealt.withColumn("_n", within).join(first, "_part").withColumn(name, F.col("_first") + F.col("_n") - 1).drop("_part", "_n", "_first")
+    for r in sorted(dealt.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"]):
+        starts.append((r["part"], at))
+        at += r["count"]
+    first = F.broadcast(df.sparkSession.createDataFrame(starts, "_part int, _first long"))
+    return dealt.withColumn("_part", part).join(first, "_part", "left").withColumn(name, F.col("_first") + within).drop("_part", "_first", "_place")
 
 
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
