@@ -131,7 +131,7 @@ def assign(slotted: DataFrame, slot_map: list[tuple[int, int, int, int, int]]) -
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")).cast("long")
     return (
         slotted.withColumn("rank_in_slot", rank)
-        .join(F.broadcast(starts), "virtual_slot")
+        .join(F.broadcast(starts), "virtual_slot", "left")  # every slot has a start; an inner join would test it for null first
         .select("doc_id", "size", "text_crc32", "shard", (F.col("first_place") + F.col("rank_in_slot") - 1).alias("slot"), "virtual_slot")
     )
 
