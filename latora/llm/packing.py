@@ -144,36 +144,45 @@ def pack_window(lengths: list[int], room: list[int], costs: list[float], capacit
         if n > full:
             units.append((n - full, doc, full))
     units.sort(key=lambda u: (-u[0], u[1], u[2]))
-    heap = [(costs[s], s) for s in range(len(room)) if room[s]]
-    heapq.heapify(heap)
+    # pieces descend, so what has room for one has room for all after it until it is filled further:
+    # ``heap`` holds those sequences by cost, ``waiting`` the others by their room
+    waiting: list[list[int]] = [[] for _ in range(max(room, default=0) + 1)]
+    for s, free in enumerate(room):
+        waiting[free].append(s)
+    heap: list[tuple[float, int]] = []
+    level = len(waiting)
     placed, cut = [], []
     for n, doc, at in units:
-        passed = []
-        while heap and room[heap[0][1]] < n:
-            passed.append(heapq.heappop(heap))
-            if len(passed) >= 64:
-                break
-        if heap and room[heap[0][1]] >= n:
-            _, s = heapq.heappop(heap)
-            placed.append((doc, at, n, s))
-            room[s] -= n
-            costs[s] += piece_cost(n)
-            if room[s]:
+        while level > n:
+            level -= 1
+            for s in waiting[level]:
                 heapq.heappush(heap, (costs[s], s))
-        else:
+        if not heap:
             cut.append((n, doc, at))
-        for entry in passed:
-            heapq.heappush(heap, entry)
+            continue
+        s = heap[0][1]
+        placed.append((doc, at, n, s))
+        room[s] -= n
+        costs[s] += piece_cost(n)
+        if room[s] >= n:
+            heapq.heapreplace(heap, (costs[s], s))
+        else:
+            heapq.heappop(heap)
+            waiting[room[s]].append(s)
+    # fewer pieces are cut than there are sequences; a remainder stays whole where it can
+    free, cost = np.array(room, np.int64), np.array(costs, np.float64)
     for n, doc, at in cut:
         while n:
-            _, s = heapq.heappop(heap)
-            take = min(n, room[s])
+            having = np.flatnonzero(free >= n)
+            if not len(having):
+                having = np.flatnonzero(free)
+            s = int(having[cost[having].argmin()])
+            take = min(n, int(free[s]))
             placed.append((doc, at, take, s))
-            room[s] -= take
-            costs[s] += piece_cost(take)
+            free[s] -= take
+            cost[s] += piece_cost(take)
             n, at = n - take, at + take
-            if room[s]:
-                heapq.heappush(heap, (costs[s], s))
+    room[:], costs[:] = free.tolist(), cost.tolist()
     return placed
 
 

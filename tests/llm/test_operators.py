@@ -249,6 +249,40 @@ def test_packing(spark, odd, monkeypatch, window):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_cheapest_of_many_sequences():
+    rng = random.Random(5)
+    lengths = [rng.choice((rng.randint(1, 300), rng.randint(700, 2048), rng.randint(1, 6000))) for _ in range(800)]
+    full, rest = divmod(sum(lengths), packing.SEQUENCE)
+    rooms = [packing.SEQUENCE] * full + packing.powers_of_two(rest)
+    assert len(rooms) > 300
+    units = [(min(packing.SEQUENCE, n - at), doc, at) for doc, n in enumerate(lengths) for at in range(0, n, packing.SEQUENCE)]
+    left, costs, todo, expected = list(rooms), [0.0] * len(rooms), [], []
+
+    def put(doc, at, n, s):
+        expected.append((doc, at, n, s))
+        left[s] -= n
+        costs[s] += packing.piece_cost(n)
+
+    def cheapest(n):
+        return min(((costs[s], s) for s in range(len(left)) if left[s] >= n), default=(None, None))[1]
+
+    for n, doc, at in sorted(units, key=lambda u: (-u[0], u[1], u[2])):
+        if (s := cheapest(n)) is None:
+            todo.append((n, doc, at))
+        else:
+            put(doc, at, n, s)
+    for n, doc, at in todo:
+        while n:
+            s = cheapest(n)
+            s = cheapest(1) if s is None else s
+            take = min(n, left[s])
+            put(doc, at, take, s)
+            n, at = n - take, at + take
+    room, cost = list(rooms), [0.0] * len(rooms)
+    assert packing.pack_window(lengths, room, cost) == expected
+    assert room == left == [0] * len(rooms) and cost == costs
+
+
 def test_windows_are_full():
     rng = random.Random(3)
     for _ in range(50):
