@@ -245,14 +245,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(groups, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """One row of each component, all columns kept: a row of its smallest id, of rows alike in id and text only one.
 
     Rows of null ids alone are one component by their root fingerprint. The rows to keep are
-    found from ids and hashes; texts are shuffled once, to meet them.
+    found from ids and hashes; texts are shuffled once, to meet them. ``found`` gives the components
+    of another search, as (doc_id, text_hash, root) of every row.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    if found is None:
+        found = near_duplicates(docs, id_col, text_col)
+        group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    else:
+        group = F.col("root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     # plain key columns without nulls: the join's partitioning then also serves the window
     keys = ["i", "no_id", "h"]

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from latora.llm import decontaminate, license_scan, packing, pii, quality_resample, quality_rules, secret_scan, sharding, simhash_dedup, url_filter
+from latora.llm import decontaminate, license_scan, near_copies, packing, pii, quality_resample, quality_rules, secret_scan, sharding, simhash_dedup, url_filter
 from latora.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string"
@@ -167,6 +167,46 @@ def test_null_ids_alone(spark):
     assert simhash_dedup.keep_one(docs).count() == 1
 
 
+def five_word_sets(texts):
+    split = [words(low(t)) for t in texts]
+    return [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+
+
+def test_near_copies(spark, odd):
+    rng = random.Random(11)
+    texts = []
+    for k in range(12):
+        base = [f"b{rng.randrange(3000)}" for _ in range(rng.choice((40, 230, 900)))]
+        for edits in (0, 1, 2, 4, 8):
+            w = list(base)
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = odd.unionByName(frame(spark, texts, range(100, 100 + len(texts))))
+    rows = docs.select("doc_id", "text").collect()
+    sets = five_word_sets(r.text for r in rows)
+    alike = lambda x, y: x == y or 5 * len(x & y) >= 4 * len(x | y)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and alike(sets[i], sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    assert len(set(root)) < len(set(map(frozenset, sets)))
+    smallest = {c: min((r.doc_id for r, d in zip(rows, root) if c == d and r.doc_id is not None), default=None) for c in root}
+    kept = simhash_dedup.keep_one(docs, found=near_copies.groups(docs))
+    assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, smallest.values()))
+    empty = odd.limit(0)
+    assert simhash_dedup.keep_one(empty, found=near_copies.groups(empty)).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    text = [f"w{k}" for k in range(230)]
+    docs = frame(spark, [" ".join(text), " ".join(text[:50] + ["other", "words"] + text[52:150] + ["here"] + text[151:]), " ".join(f"v{k}" for k in range(230))])
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect()) == [0, 2]
+
+
 @pytest.mark.parametrize("cap", [30, 1 << 20])
 def test_tree_is_exact(spark, cap):
     rng = np.random.default_rng(7)
