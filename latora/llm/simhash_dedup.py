@@ -234,15 +234,15 @@ def fingerprint_links(classes: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = SHARD_CAP) -> DataFrame:
-    """(doc_id, text_hash, fp, fingerprint, component_id) of every row."""
+    """(doc_id, text_hash, fp, fingerprint, component_id, root) of every row; root is the component's root fingerprint."""
     marked = checkpointed(fingerprints(docs, id_col, text_col))
     classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(fingerprint_links(classes, cap))
     linked = classes.join(roots, classes.fp == roots.node).select("fp", "least", "root")
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = linked.join(smallest, "root").select("fp", "component_id")
-    groups = classes.join(known, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
-    return marked.join(groups, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = linked.join(smallest, "root").select("fp", "component_id", "root")
+    groups = classes.join(known, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return marked.join(groups, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
@@ -254,13 +254,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     """
     if found is None:
         found = near_duplicates(docs, id_col, text_col)
-        group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
-    else:
-        group = F.col("root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     # plain key columns without nulls: the join's partitioning then also serves the window
     keys = ["i", "no_id", "h"]
-    keep = found.groupBy(group.alias("group")).agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(0)).alias("i"), F.col("k.no_id").alias("no_id"), F.coalesce("k.text_hash", F.lit(0)).alias("h"))
+    keep = found.groupBy("root").agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(0)).alias("i"), F.col("k.no_id").alias("no_id"), F.coalesce("k.text_hash", F.lit(0)).alias("h"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(F.col(text_col)).alias("h"), row)
     once = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))

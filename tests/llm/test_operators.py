@@ -167,6 +167,14 @@ def test_null_ids_alone(spark):
     assert simhash_dedup.keep_one(docs).count() == 1
 
 
+def test_near_copies_with_null_ids(spark):
+    base = "".join(chr(97 + k % 26) + " " for k in range(300))
+    texts = [base.replace("c d e", f"c {k} e", 1) for k in range(5)]
+    values = [slow_fingerprint(t) for t in texts]
+    assert len(set(values)) > 1 and len(set(slow_components(values))) == 1
+    assert simhash_dedup.keep_one(frame(spark, texts, [None] * 5)).count() == 1
+
+
 def five_word_sets(texts):
     split = [words(low(t)) for t in texts]
     return [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
