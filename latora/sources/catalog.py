@@ -49,7 +49,8 @@ def number(col: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path)
+    """A CSV file with a header; quoted fields may hold commas, doubled quotes and line breaks."""
+    return spark.read.options(header=True, escape='"', multiLine=True).csv(path)
 
 
 def ingest(df: DataFrame, feature_names: Sequence[str] = DEFAULT_FEATURES, deduplicate: bool = True, any_script: bool = True, order: Sequence[str] | None = None) -> DataFrame:
@@ -97,15 +98,25 @@ def with_popularity(catalog: DataFrame) -> DataFrame:
             values[c] = F.log1p(F.greatest(v, F.lit(0.0))) if log else v
     if not values:
         return catalog.withColumn("pop", F.lit(1.0))
-    row = catalog.agg(*(f(v).alias(f"{n}_{c}") for c, v in values.items() for n, f in (("low", F.min), ("high", F.max)))).first()
-    known = catalog.agg(*(F.count(number(F.col(c))).alias(c) for c in values)).first()
+    least_and_most = (f(v).alias(f"{n}_{c}") for c, v in values.items() for n, f in (("low", F.min), ("high", F.max)))
+    row = catalog.agg(*least_and_most, *(F.count(number(F.col(c))).alias(f"known_{c}") for c in values)).first()
     for c, v in values.items():
         low, high = row[f"low_{c}"], row[f"high_{c}"]
-        if known[c] and high > low:
+        if row[f"known_{c}"] and high > low:
             return catalog.withColumn("pop", (v - low) / (high - low))
     return catalog.withColumn("pop", F.lit(1.0))
 
 
+def duplicates_removed(raw: DataFrame, catalog: DataFrame) -> int:
+    """Rows of a raw table that its catalogue doesn't hold one for one: without usable features, or collapsed."""
+    return raw.count() - catalog.count()
+
+
+def lookup(catalog: DataFrame, song_ids: Sequence[int]) -> DataFrame:
+    """The rows of some songs, by their ids; unknown ids give none."""
+    return catalog.filter(F.col("song_id").isin([int(i) for i in song_ids]))
+
+
 def describe(catalog: DataFrame) -> DataFrame:
     return catalog.select("song_id", F.concat_ws(" - ", "track_name", "artist_names").alias("description"))
 

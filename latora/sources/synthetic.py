@@ -1,4 +1,4 @@
-"""A generated chart table with structure: artists of ten genres, duplicates, and jitter.
+"""A generated chart table with structure: artists of several genres, duplicates, and jitter.
 
 Rows are made where they are needed, each from hashes of its own number and the seed, so a
 retried or repartitioned task makes the same rows.
@@ -13,22 +13,27 @@ from pyspark.sql import functions as F
 
 from latora.sources.catalog import DEFAULT_FEATURES, ingest
 
-# Own values: (mean, deviation) of each default feature for ten genres.
-GENRE_PROFILES = {
-    "edm": ((0.68, 0.08), (0.85, 0.07), (0.08, 0.03), (0.05, 0.04), (0.45, 0.2), (0.18, 0.08), (0.45, 0.15), (-5.0, 1.5), (126.0, 6.0)),
-    "hip-hop": ((0.78, 0.08), (0.62, 0.1), (0.26, 0.08), (0.15, 0.1), (0.02, 0.02), (0.16, 0.07), (0.5, 0.15), (-6.5, 1.5), (95.0, 18.0)),
-    "rnb": ((0.66, 0.08), (0.5, 0.1), (0.09, 0.04), (0.3, 0.15), (0.03, 0.03), (0.14, 0.06), (0.5, 0.15), (-7.5, 1.5), (102.0, 15.0)),
-    "pop": ((0.67, 0.07), (0.68, 0.1), (0.06, 0.03), (0.2, 0.12), (0.01, 0.01), (0.16, 0.07), (0.6, 0.15), (-5.5, 1.2), (116.0, 12.0)),
-    "rock": ((0.5, 0.08), (0.8, 0.1), (0.06, 0.02), (0.08, 0.07), (0.08, 0.08), (0.2, 0.1), (0.5, 0.15), (-6.0, 1.5), (128.0, 16.0)),
-    "folk": ((0.5, 0.08), (0.35, 0.1), (0.04, 0.01), (0.75, 0.12), (0.06, 0.06), (0.14, 0.06), (0.4, 0.15), (-11.0, 2.0), (110.0, 16.0)),
-    "jazz": ((0.55, 0.08), (0.35, 0.1), (0.05, 0.02), (0.7, 0.12), (0.4, 0.2), (0.15, 0.07), (0.5, 0.15), (-12.0, 2.5), (112.0, 20.0)),
-    "classical": ((0.3, 0.08), (0.18, 0.08), (0.04, 0.01), (0.94, 0.04), (0.85, 0.08), (0.12, 0.04), (0.22, 0.1), (-20.0, 3.0), (100.0, 20.0)),
-    "ambient": ((0.35, 0.1), (0.2, 0.08), (0.04, 0.01), (0.8, 0.12), (0.9, 0.06), (0.11, 0.03), (0.15, 0.08), (-18.0, 3.0), (88.0, 16.0)),
-    "live-set": ((0.48, 0.08), (0.78, 0.09), (0.1, 0.04), (0.2, 0.12), (0.05, 0.05), (0.85, 0.08), (0.5, 0.15), (-7.0, 1.5), (122.0, 16.0)),
-}
+GENRES = ("shoegaze", "cumbia", "drone", "ska", "fado", "grime", "polka", "gospel")
+BOUNDS = {"loudness": (-60.0, 0.0), "tempo": (40.0, 220.0)}
+#: A genre's mean lies in the middle ``REACH`` of a feature's range, and songs spread by ``SPREAD`` of the range.
+REACH, SPREAD = 0.7, 0.07
+
+
 _FIRST = "Silver Paper Hollow Velvet Distant Golden Broken Quiet Electric Northern Amber Winter".split()
 _SECOND = "Rivers Letters Signal Garden Mirrors Harbour Motion Lanterns Static Horizon Orchard Parade".split()
-BIAS, JITTER = 0.35, 1e-4
+#: An artist's own lean, in spreads of the genre, and the noise of a repeated row.
+LEAN, JITTER = 0.5, 1e-4
+
+
+def genre_profile(genre: int, feature: int) -> tuple[float, float]:
+    """(mean, deviation) of a feature in a genre.
+
+    Means follow an additive sequence with another irrational step for each feature, so genres
+    are spread over the range of every feature and no two features rank them alike.
+    """
+    low, high = BOUNDS.get(DEFAULT_FEATURES[feature], (0.0, 1.0))
+    place = (0.5 + (genre + 1) * math.sqrt(feature + 2 + (feature > 1) + 2 * (feature > 5))) % 1.0
+    return low + (high - low) * ((1 - REACH) / 2 + REACH * place), (high - low) * SPREAD
 
 
 def _uniform(seed: int, name: str, *by: Column | str) -> Column:
@@ -56,21 +61,19 @@ def synthetic_frame(spark: SparkSession, n_songs: int = 3000, n_artists: int = 2
     again = F.col("row") >= n_songs
     song = F.when(again, F.pmod(F.xxhash64(F.lit(seed), F.lit("again"), "row"), F.lit(n_songs))).otherwise(F.col("row"))
     rows = rows.withColumn("song", song).withColumn("artist", F.pmod(F.xxhash64(F.lit(seed), F.lit("artist"), "song"), F.lit(n_artists)))
-    genres = list(GENRE_PROFILES)
-    rows = rows.withColumn("g", F.pmod("artist", F.lit(len(genres))).cast("int"))
-    bounds = {"loudness": (-60.0, 0.0), "tempo": (40.0, 220.0)}
+    rows = rows.withColumn("g", F.pmod("artist", F.lit(len(GENRES))).cast("int"))
     features = {}
     for k, name in enumerate(DEFAULT_FEATURES):
-        mean = F.get(F.array(*(F.lit(GENRE_PROFILES[g][k][0]) for g in genres)), F.col("g"))
-        spread = F.get(F.array(*(F.lit(GENRE_PROFILES[g][k][1]) for g in genres)), F.col("g"))
-        value = mean + spread * (BIAS * _normal(seed, f"bias {name}", "artist") + _normal(seed, name, "song"))
-        low, high = bounds.get(name, (0.0, 1.0))
+        profiles = [genre_profile(g, k) for g in range(len(GENRES))]
+        mean, spread = (F.get(F.array(*(F.lit(p[n]) for p in profiles)), F.col("g")) for n in (0, 1))
+        value = mean + spread * (LEAN * _normal(seed, f"lean {name}", "artist") + _normal(seed, name, "song"))
+        low, high = BOUNDS.get(name, (0.0, 1.0))
         clipped = F.greatest(F.lit(low), F.least(F.lit(high), value))
         features[name] = F.when(F.col("row") >= n_songs, clipped + JITTER * _normal(seed, f"jitter {name}", "row")).otherwise(clipped)
     rows = rows.withColumns(features)
     # the least of four uniforms to the power 5/8 is near a Beta(1.6, 6) long tail
     popularity = 100 * F.pow(F.least(*(_uniform(seed, f"popularity {k}", "song") for k in range(4))), F.lit(0.625))
-    genre = F.get(F.array(*map(F.lit, genres)), F.col("g"))
+    genre = F.get(F.array(*map(F.lit, GENRES)), F.col("g"))
     return rows.select("row", _name(F.col("song"), _FIRST, _SECOND).alias("track_name"), F.concat(F.lit("The "), _name(F.col("artist"), _SECOND, _FIRST)).alias("artist_names"), genre.alias("genre"), popularity.alias("popularity"), *DEFAULT_FEATURES)
 
 

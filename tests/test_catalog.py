@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from latora.functions import text
 from latora.sources import catalog as catalogs
 from latora.sources import fetch
-from latora.sources.synthetic import synthetic_catalog, synthetic_frame
+from latora.sources.synthetic import GENRES, synthetic_catalog, synthetic_frame
 
 FEATURES = ("x", "y")
 
@@ -37,6 +37,20 @@ def test_ingest_collapses_by_median_and_first(spark):
     assert sorted(r.song_id for r in out.values()) == [0, 1]
 
 
+def test_csv_quoting(spark, tmp_path):
+    path = tmp_path / "charts.csv"
+    path.write_text('Title,Artist,energy\n"He said ""hi"", twice",A,0.5\n"two\nlines",B,0.25\n"back\\slash",C,1\n', encoding="utf-8")
+    rows = catalogs.read_csv(spark, str(path)).collect()
+    assert [tuple(r) for r in rows] == [('He said "hi", twice', "A", "0.5"), ("two\nlines", "B", "0.25"), ("back\\slash", "C", "1")]
+
+
+def test_rows_by_id_and_duplicates(spark):
+    raw = songs(spark, [("A", "P", "1", 1.0, "g"), ("a", "p", "3", 2.0, "g"), ("B", "P", "text", 1.0, "g"), ("C", "P", "5", 1.0, "g")])
+    catalog = catalogs.ingest(raw, FEATURES)
+    assert catalogs.duplicates_removed(raw, catalog) == 2
+    assert [r.track_name for r in catalogs.lookup(catalog, [1, 99]).collect()] == ["C"] and catalogs.lookup(catalog, []).count() == 0
+
+
 def test_ingest_errors(spark):
     with pytest.raises(catalogs.CatalogError, match="title"):
         catalogs.ingest(spark.createDataFrame([(1.0,)], "x double"), ("x",))
@@ -65,7 +79,7 @@ def test_lookup(spark):
 
 def test_synthetic(spark):
     frame = synthetic_frame(spark, 200, 20, seed=1)
-    assert frame.count() == 290 and frame.select("genre").distinct().count() == 10
+    assert frame.count() == 290 and frame.select("genre").distinct().count() == len(GENRES)
     assert frame.exceptAll(synthetic_frame(spark, 200, 20, seed=1)).count() == 0
     catalog = synthetic_catalog(spark, 200, 20, seed=1)
     assert catalog.count() <= 200 and catalog.agg(F.max("song_id")).first()[0] == catalog.count() - 1
