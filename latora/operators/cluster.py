@@ -189,11 +189,16 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+#: Bands of the adjusted Rand index: chance level, faint, moderate and good agreement.
+AGREEMENT_BANDS = ((0.1, "no agreement"), (0.3, "faint agreement"), (0.6, "moderate agreement"), (math.inf, "good agreement"))
+
+
 def verdict(ari: float) -> str:
-    for limit, words in ((0.05, "essentially unrelated to"), (0.25, "weakly related to"), (0.55, "partially reproduces"), (math.inf, "closely reproduces")):
-        if ari < limit:
-            return f"{words} the reference taxonomy"
-    raise ValueError("ari must be a number")
+    """A reading of the adjusted Rand index in words."""
+    if math.isnan(ari):
+        raise ValueError("ari must be a number")
+    words = next(words for limit, words in AGREEMENT_BANDS if ari < limit)
+    return f"clusters and labels: {words} (adjusted Rand index {ari:.2f})"
 
 
 def compare_to_labels(points: DataFrame, label: str, k: int | None = None, n_restarts: int = 10, seed: int = 0, features: str = "features", id_col: str = "song_id", single_step: bool = False) -> tuple[ClusterResult, dict]:

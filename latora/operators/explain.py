@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from latora.functions.vectors import TINY, clip, dot, norm
 
-WEAK = "matched weakly; no single latent axis dominates"
+NOTHING_SHARED = "no component speaks for this match"
 
 
 def similarity_score(query: Column, candidate: Column, width: int) -> Column:
@@ -33,11 +33,12 @@ def contributions(query: Column, candidate: Column, width: int, top_n: int = 3,
 
 
 def phrase(term: Column) -> Column:
-    where = F.concat(F.lit("LF"), term["component"].cast("string"), F.lit(" ("), term["description"], F.lit(")"))
-    side = F.when(term["query_coordinate"] >= 0, "high").otherwise("low")
-    return F.when(term["contribution"] >= 0, F.concat(F.lit("both score "), side, F.lit(" on "), where)).otherwise(F.concat(F.lit("they diverge on "), where))
+    """One component in words: both items on the same side of zero, or on opposite sides."""
+    axis = F.concat(F.lit("component "), term["component"].cast("string"), F.lit(": "), term["description"])
+    side = F.when(term["query_coordinate"] >= 0, "above zero").otherwise("below zero")
+    return F.concat(axis, F.when(term["contribution"] >= 0, F.concat(F.lit(", both "), side)).otherwise(F.lit(", on opposite sides")))
 
 
 def summary(terms: Column, top_n: int = 2) -> Column:
     agreeing = F.slice(F.filter(terms, lambda t: t["contribution"] >= 0), 1, top_n)
-    return F.when(F.size(agreeing) > 0, F.array_join(F.transform(agreeing, phrase), "; ")).otherwise(WEAK)
+    return F.when(F.size(agreeing) > 0, F.array_join(F.transform(agreeing, phrase), "; ")).otherwise(NOTHING_SHARED)

@@ -7,6 +7,7 @@ Doubles are rounded to six places on both sides, and 0.0 is added so that zero h
 
 from __future__ import annotations
 
+import uuid
 from functools import cache
 
 import numpy as np
@@ -19,6 +20,7 @@ from latora.operators import analysis, cluster, evaluate, explain, factor, metri
 from latora.operators.model import LatentModel, fit_latent_model
 from latora.operators.recommend import Recommender
 from latora.operators.scaling import fit_scaler
+from latora.session import shared_folder
 from latora.sources import catalog as catalogs
 from latora.sources.synthetic import synthetic_frame
 
@@ -167,11 +169,8 @@ def whitened_energy(spark, sf_dir):
 
 def model_roundtrip(spark, sf_dir):
     """A model saved to the checkpoint folder and loaded again projects as before."""
-    import tempfile
-    import uuid
-
     model = model_a(spark, sf_dir, 3)
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/model-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     model.save(spark, path)
     loaded = LatentModel.load(spark, path)
     gap = total([F.abs(loaded.transform(F.col("features"))[k] - model.transform(F.col("features"))[k]) for k in range(3)])

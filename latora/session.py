@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +19,17 @@ def reachable(spark: SparkSession) -> None:
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *known])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Where that is unset, a single-machine session gets a temporary folder, and a cluster an error:
+    what one executor wrote to its own disk would be out of others' reach.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="latora-")
