@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from latora.session import reachable
+from latora.session import reachable, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,17 +19,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (single-machine tests) is a local temporary folder taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+#: A key that more than one in so many rows have, and more than so many rows, is hot.
+HOT_SHARE, HOT_ROWS = 1000, 1000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that hot values don't put into one task.
+
+    ``one`` has one row for each key and in ``n`` how many rows of ``many`` have that key. Fewer
+    than ``HOT_SHARE`` keys can be hot; their rows of ``one``, which are short, are broadcast and the
+    rows of ``many`` stay where they are. All other keys are shuffled.
+    """
+    total = one.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > max(HOT_ROWS, total // HOT_SHARE)
+    if not one.filter(is_hot).limit(1).count():
+        return many.join(one, key)
+    hot = F.broadcast(checkpointed(one.filter(is_hot)))
+    cold = many.join(hot.select(key), key, "left_anti").join(one.filter(~is_hot), key)
+    return many.join(hot, key).unionByName(cold)
+
+
 #: Rows of an Arrow batch. Batches are counted in rows, and texts are long: at the engine's
 #: default of 10,000 a batch of documents takes tens of MB, several times over, in each task.
 BATCH_ROWS = 1000

@@ -3,19 +3,22 @@
 Fingerprints of 64 bits link at ``RADIUS`` or fewer differing bits, and linked documents form
 components.
 
-On 64 bits, distances between unlike fingerprints crowd around 32, so a vantage-point tree
-over whole fingerprints must send some two thirds of them down both sides of every split.
-The first level of the search therefore takes distances on parts of the bits. The bits are
-dealt into ``RADIUS + 1`` bands, and two linked fingerprints agree wholly on one band: there
-the search radius is 0, a vantage point's distance bounds prune every branch but one, and
-shards do not overlap. Each shard is then searched by the distance on all bits:
-
-* a shard of more than ``SHARD_CAP`` fingerprints is split over tasks into rings around a
-  vantage point; a ring is wider than the radius, so each fingerprint visits the shards of its
-  neighbouring rings only;
-* within a task, a tree: all within the radius of the vantage point are one component with
-  it; the others split at the median distance, and those within the radius of the split
-  visit the other side too; whatever the triangle bounds rule out isn't compared.
+Every search is one of vantage-point trees: fingerprints are partitioned by their Hamming
+distance from a vantage point, triangle bounds prune whatever can't lie within the radius, and
+what lies near the boundary of a part also visits the part beyond it, so pairs are exact.
+
+On 64 bits, distances between unlike fingerprints crowd around 32, and a tree over all of them
+would send some two thirds down both sides of every split. What a tree visits is therefore
+bounded first: the bits are dealt into ``RADIUS + c`` chunks, and two linked fingerprints agree
+wholly on some ``c`` of these. There is one forest for each choice of ``c`` chunks, and in it one
+tree for each value they take. ``c`` grows with the number of fingerprints, so that a tree holds
+some hundreds of them at any size. Trees work on all bits:
+
+* a tree of more than ``SHARD_CAP`` fingerprints is split over tasks into rings around a vantage
+  point; a ring is wider than the radius, so each fingerprint visits the neighbouring rings only;
+* a task grows all its trees level by level at once, down to single fingerprints. At a node the
+  vantage point meets all others, which then go to the near or the far side; a branch whose
+  members are joined already ends.
 
 Equal fingerprints are one class from the start, counted on the map side, so thousands of
 copies cost one row each task. Only fingerprints and ids are shuffled, never texts.
@@ -30,25 +33,27 @@ are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latora.llm.common import checkpointed, map_batches, row_slices, utf8
+from latora.llm.common import checkpointed, map_batches, row_slices, spread_join, utf8
 from latora.llm.components import components
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Fingerprints in a tree, about, where they are spread evenly.
+TREE_SIZE = 256
 SHARD_CAP = 1 << 20
-LEAF = 256
 RING = RADIUS + 1
-MAX_SPLITS = 6
+#: Rows of whole trees that a task searches at once.
+SEARCH_ROWS = 1 << 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -82,119 +87,88 @@ def _apart(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def _between(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs within the radius, of two sets, in blocks."""
-    a, b = [], []
-    step = max(1, (1 << 22) // max(1, len(right)))
-    for at in range(0, len(left), step):
-        i, j = np.nonzero(_apart(left[at : at + step, None], right[None, :]) <= RADIUS)
-        a.append(i + at)
-        b.append(j)
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def tree_links(home: np.ndarray, ghost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what lies within the radius: among ``home``, and of ``home`` with ``ghost``."""
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    todo = [(home, ghost)]
-    while todo:
-        home, ghost = todo.pop()
-        if not len(home):
-            continue
-        if len(home) <= LEAF:
-            for other in (home, ghost):
-                i, j = _between(home, other)
-                a.append(home[i])
-                b.append(other[j])
-            continue
-        vantage = home[len(home) // 2]
-        near, far = _apart(home, vantage), _apart(ghost, vantage)
-        ball = home[near <= RADIUS]
-        a.append(ball)
-        b.append(np.full(len(ball), vantage))
-        for other, d in ((home[near > RADIUS], near[near > RADIUS]), (ghost, far)):
-            other = other[d <= 2 * RADIUS]  # whatever lies further is out of reach of the ball
-            i, j = _between(ball, other)
-            a.append(ball[i])
-            b.append(other[j])
-        home, near = home[near > RADIUS], near[near > RADIUS]
-        if not len(home):
-            continue
-        split = int(np.median(near))
-        inner = near <= split
-        edge = home[inner & (near + RADIUS > split)]
-        todo.append((home[inner], ghost[far <= split + RADIUS]))
-        todo.append((home[~inner], np.concatenate([edge, ghost[far + RADIUS > split]])))
-    if not a:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The components of links as (node, smallest node), without the smallest itself."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], low)
-        np.minimum.at(new, label[j], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
-def shard_links(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within each shard of a run of whole shards, which stand together."""
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    last = np.concatenate([first[1:], [len(key)]])
-    size = last - first
-    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    at = np.repeat(np.where(size <= LEAF, last, 0), size)
-    i = np.arange(len(key))
-    step = 1
-    while len(i := i[i + step < at[i]]):
-        found = (_apart(fp[i], fp[i + step]) <= RADIUS) & (home[i] | home[i + step])
-        a.append(fp[i[found]])
-        b.append(fp[i[found] + step])
-        step += 1
-    for s, e in zip(first[size > LEAF].tolist(), last[size > LEAF].tolist()):
-        own, is_home = fp[s:e], home[s:e]
-        x, y = tree_links(own[is_home], own[~is_home])
-        a.append(x)
-        b.append(y)
-    return _stars(np.concatenate(a), np.concatenate(b))
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after links are added; a root is the least of its component, and its own root."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b = a[apart], b[apart]
+        low, high = np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        np.minimum.at(root, high, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
+def forest_links(tree: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Links that join what lies within the radius in each tree, and how many members nodes visited.
+
+    ``tree`` numbers the trees from 0. Links are those among ``home`` members, and of these
+    with the others, which are guests from beyond a boundary. They come as (fingerprint, least
+    fingerprint of its component).
+    """
+    value, node = np.unique(fp, return_inverse=True)
+    root = np.arange(len(value))
+    visits = 0
+    while len(tree):
+        n = int(tree.max()) + 1
+        vantage = np.full(n, -1)
+        vantage[tree[home]] = node[home]
+        # branches without a home member, and those whose members are joined already, end
+        open_ = np.zeros(n, bool)
+        of = vantage[tree]
+        open_[tree[(of >= 0) & (root[node] != root[of])]] = True
+        going = open_[tree]
+        tree, node, home, of = tree[going], node[going], home[going], of[going]
+        d = _apart(value[node], value[of]).astype(np.int64)
+        visits += len(node)
+        near = d <= RADIUS
+        root = _joined(root, node[near], of[near])
+        rest = node != of
+        tree, node, home, d = tree[rest], node[rest], home[rest], d[rest]
+        # the mean distance splits the home members; no side is empty unless all lie equally far
+        count = np.bincount(tree[home], minlength=n)
+        split = np.bincount(tree[home], d[home], minlength=n).astype(np.int64) // np.maximum(count, 1)
+        at = split[tree]
+        inner, outer = d <= at, d > at
+        to_inner = inner | (~home & (d - RADIUS <= at))
+        to_outer = outer | (d + RADIUS > at)
+        parts = [(2 * tree[to_inner], node[to_inner], home[to_inner]), (2 * tree[to_outer] + 1, node[to_outer], (home & outer)[to_outer])]
+        tree, node, home = (np.concatenate(x) for x in zip(*parts))
+        used = np.zeros(2 * n, bool)
+        used[tree[home]] = True
+        keep = used[tree]
+        tree, node, home = (np.cumsum(used) - 1)[tree[keep]], node[keep], home[keep]
+    moved = root != np.arange(len(value))
+    return value[moved], value[root[moved]], visits
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition sorted by shard; holds a batch and the shard that it ends in."""
+    """Links of a partition sorted by tree, some whole trees at a time."""
 
     def links(parts):
-        a, b = shard_links(*(np.concatenate(x) for x in zip(*parts)))
+        key, fp, home = (np.concatenate(x) for x in zip(*parts))
+        number = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        a, b, _ = forest_links(number, fp, home)
         for at in range(0, len(a), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)].view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     held: list[tuple] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy()
         part = (key, batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False))
+        # the last tree of a batch may go on in the next one
         cut = int(np.searchsorted(key, key[-1]))
-        if cut or held and held[-1][0][-1] != key[0]:
-            held.append(tuple(x[:cut] for x in part))
-            yield from links(held)
-            held = [tuple(x[cut:] for x in part)]
+        ended = cut or held and held[-1][0][-1] != key[0]
+        if ended and size + cut >= SEARCH_ROWS:
+            yield from links([*held, tuple(x[:cut] for x in part)])
+            held, size = [tuple(x[cut:] for x in part)], len(key) - cut
         else:
             held.append(part)
+            size += len(key)
     if held:
         yield from links(held)
 
@@ -202,13 +176,16 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _split_hot(shards: DataFrame, cap: int) -> DataFrame:
     """Rings in place of shards with more than ``cap`` fingerprints at home.
 
-    The shards that are too large number at most the rows over the cap, and before the
-    first split at most the bands' values; they are collected in that bounded form.
+    Shards that large number at most the rows over the cap; they are collected in that
+    bounded form. Splitting ends when none is left, or when the largest gets no smaller.
     """
-    for level in range(MAX_SPLITS):
+    level, largest = 0, None
+    while True:
         hot = shards.filter("home").groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("vantage"), F.max("fp").alias("other")).filter(F.col("n") > cap).collect()
-        if not hot:
-            break
+        now = max((r.n for r in hot), default=0)
+        if not hot or largest is not None and level % 2 == 0 and now >= largest:
+            return shards
+        largest = now if level % 2 == 0 else largest
         spark = shards.sparkSession
         # another vantage point at each level: rings around the same one would not split again
         points = [(r.shard, r.vantage if level % 2 == 0 else r.other) for r in hot]
@@ -222,27 +199,42 @@ def _split_hot(shards: DataFrame, cap: int) -> DataFrame:
         split = shards.join(points, "shard").withColumn("own", own).withColumn("ring", F.explode(rings))
         split = split.select(F.xxhash64("shard", "ring", F.lit(level)).alias("shard"), "fp", (F.col("home") & (F.col("ring") == F.col("own"))).alias("home"))
         shards = checkpointed(cold.select("shard", "fp", "home").unionByName(split))
-    return shards
+        level += 1
+
+
+def forest_masks(n: int, size: int = TREE_SIZE) -> list[int]:
+    """The bits, one mask for each forest, on which trees agree: for n fingerprints, about ``size`` to a tree.
+
+    ``RADIUS`` differing bits touch at most as many of the chunks, so linked fingerprints agree on all the
+    chunks of some mask. At most 4 chunks are chosen, of 32 bits together.
+    """
+    for chosen in range(1, 5):
+        chunks = RADIUS + chosen
+        edges = [64 * k // chunks for k in range(chunks + 1)]
+        masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in pick) for pick in itertools.combinations(range(chunks), chosen)]
+        if n <= size << (64 * chosen // chunks):
+            break
+    return masks
 
 
-def fingerprint_links(classes: DataFrame, cap: int = SHARD_CAP) -> DataFrame:
+def fingerprint_links(classes: DataFrame, cap: int = SHARD_CAP, size: int = TREE_SIZE) -> DataFrame:
     """Links (a, b) between distinct fingerprints that join all within the radius of each other."""
-    bands = F.array(*(F.struct(F.lit(n).cast("long").alias("band"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value")) for n, (low, width) in enumerate(BANDS)))
-    shards = classes.select("fp", F.explode(bands).alias("x")).select((F.shiftleft(F.col("x.band"), 16) + F.col("x.value")).alias("shard"), "fp", F.lit(True).alias("home"))
-    shards = _split_hot(shards, cap)
+    masks = [m - (m >> 63 << 64) for m in forest_masks(classes.count(), size)]
+    trees = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for k, m in enumerate(masks)))
+    shards = _split_hot(classes.select(F.explode(trees).alias("shard"), "fp", F.lit(True).alias("home")), cap)
     return map_batches(shards.repartition("shard").sortWithinPartitions("shard"), _search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = SHARD_CAP) -> DataFrame:
     """(doc_id, text_hash, fp, fingerprint, component_id, root) of every row; root is the component's root fingerprint."""
     marked = checkpointed(fingerprints(docs, id_col, text_col))
-    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(fingerprint_links(classes, cap))
-    linked = classes.join(roots, classes.fp == roots.node).select("fp", "least", "root")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = linked.join(smallest, "root").select("fp", "component_id", "root")
-    groups = classes.join(known, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
-    return marked.join(groups, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    linked = checkpointed(classes.join(roots, classes.fp == roots.node).select("fp", "least", "root"))
+    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    known = spread_join(linked, smallest, "root").select("fp", "component_id", "root")
+    groups = classes.join(known, "fp", "left").select("fp", "n", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return spread_join(marked, checkpointed(groups), "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
@@ -255,12 +247,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     if found is None:
         found = near_duplicates(docs, id_col, text_col)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    # plain key columns without nulls: the join's partitioning then also serves the window
+    # plain key columns without nulls, by which grouping and join share a partitioning
     keys = ["i", "no_id", "h"]
     keep = found.groupBy("root").agg(first.alias("k")).select(F.coalesce("k.doc_id", F.lit(0)).alias("i"), F.col("k.no_id").alias("no_id"), F.coalesce("k.text_hash", F.lit(0)).alias("h"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), F.col(id_col).isNull().alias("no_id"), F.xxhash64(F.col(text_col)).alias("h"), row)
-    once = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
+    # rows alike are few after each task has left one of them, however many there are
+    once = rows.groupBy(*keys).agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     # a key is one row of three numbers in ``keep``, so hashing that side spares a sort of the texts
-    kept = rows.join(keep.hint("shuffle_hash"), keys).withColumn("once", once).filter("once = 1")
+    kept = once.join(keep.hint("shuffle_hash"), keys)
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -240,10 +240,54 @@ def test_tree_is_exact(spark, cap):
         return [root(i) for i in range(len(fp))]
 
     want = joined(*np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4))
-    a, b = simhash_dedup.tree_links(fp, fp[:0])
-    assert joined([index[int(v)] for v in a], [index[int(v)] for v in b]) == want
-    links = simhash_dedup.fingerprint_links(spark.createDataFrame([(int(v),) for v in fp.view(np.int64)], "fp long"), cap).collect()
-    assert joined([index[r.a % 2**64] for r in links], [index[r.b % 2**64] for r in links]) == want
+    a, b, visits = simhash_dedup.forest_links(np.zeros(len(fp), np.int64), fp, np.ones(len(fp), bool))
+    assert joined([index[int(v)] for v in a], [index[int(v)] for v in b]) == want and len(fp) < visits
+    classes = spark.createDataFrame([(int(v),) for v in fp.view(np.int64)], "fp long")
+    for size in (0, 1, 256):
+        links = simhash_dedup.fingerprint_links(classes, cap, size).collect()
+        assert joined([index[r.a % 2**64] for r in links], [index[r.b % 2**64] for r in links]) == want
+
+
+def test_forests_bound_what_trees_visit():
+    for n, forests in ((1000, 5), (10**7, 15), (10**10, 35), (10**14, 70)):
+        masks = simhash_dedup.forest_masks(n)
+        assert len(masks) == forests and all(0 < m < 2**64 for m in masks)
+        rng = random.Random(n)
+        for _ in range(300):
+            off = sum(1 << b for b in rng.sample(range(64), 4))
+            assert any(not m & off for m in masks)
+
+
+def test_trees_search_documents(spark):
+    """Whatever links on the documents of a small scale is found at nodes of trees, by visits."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fp = np.unique(np.array([r.fp for r in simhash_dedup.fingerprints(docs).select("fp").collect()], np.int64).view(np.uint64))
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    a = b = np.zeros(0, np.uint64)
+    visits = 0
+    for mask in simhash_dedup.forest_masks(len(fp)):
+        tree = np.unique(fp & np.uint64(mask), return_inverse=True)[1]
+        x, y, n = simhash_dedup.forest_links(tree, fp, np.ones(len(fp), bool))
+        a, b, visits = np.concatenate([a, x]), np.concatenate([b, y]), visits + n
+    found = simhash_dedup._joined(np.arange(len(fp)), np.searchsorted(fp, a), np.searchsorted(fp, b))
+    i, j = np.nonzero(near)
+    assert visits > 0 and np.array_equal(found, simhash_dedup._joined(np.arange(len(fp)), i, j))
+    roots = {int(f): int(fp[r]) for f, r in zip(fp, found)}
+    rows = simhash_dedup.near_duplicates(docs).collect()
+    smallest = {}
+    for r in rows:
+        c = roots[r.fp % 2**64]
+        smallest[c] = min(smallest.get(c, r.doc_id), r.doc_id)
+    assert all(r.component_id == smallest[roots[r.fp % 2**64]] for r in rows)
+
+
+def test_hot_key_is_not_shuffled(spark):
+    from latora.llm import common
+
+    many = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), "id")
+    one = many.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    got = {r.id: r.least for r in common.spread_join(many, one, "k").collect()}
+    assert got == {k: 0 if k < 3000 else k for k in range(5000)}
 
 
 def test_components(spark):
