@@ -1,15 +1,18 @@
 """Benchmark decontamination by an FM-index over each training shard.
 
 A window is ``WINDOW`` consecutive benchmark words (an item of fewer is one window). Each task
-gathers its documents into shards, indexes the words of a shard and searches all windows
-backwards at once. Ranks come from a wavelet matrix, occurrences are located by sampled
-suffix positions, and overlapping occurrences merge into removal spans.
-
-A shard's alphabet is the benchmark's vocabulary. Any other word can't be part of a window and
-separates runs; a run too short for any window is left out. So the index holds little more
-than the text that could match, but every word of every document is read. Benchmarks of any
-size are searched in blocks of ``BLOCK_BYTES`` of text, each broadcast on its own; the blocks'
-hits are merged row by row without a shuffle.
+gathers its documents into shards, numbers all words of a shard by an alphabet of its own, and
+indexes them once. Any benchmark can then be searched in the index: its windows, put into the
+shard's numbers, are searched backwards all at once. Ranks come from a wavelet matrix,
+occurrences are located by sampled suffix positions, and overlapping occurrences merge into
+removal spans.
+
+A shard holds about ``SHARD_WORDS`` words. A longer document is indexed in pieces that overlap by
+a window less one word, so memory doesn't grow with a text's length. The benchmark is read in
+blocks of ``BLOCK_BYTES`` of text, each broadcast as it is; a worker holds the windows of one at
+a time. All blocks of a pass are searched in the same index. A pass has at most ``PASS_BLOCKS`` blocks, which
+bounds what is broadcast; of a larger benchmark each further pass reads the rows that the one
+before it wrote to the checkpoint folder.
 
 Words are maximal runs of ASCII letters and digits and of all non-ASCII characters, with A-Z
 lower-cased.
@@ -32,43 +35,60 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latora.llm.common import map_batches, row_slices, utf8
+from latora.llm.common import checkpointed, map_batches, row_slices, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
-SHARD_SYMBOLS = 1 << 20
+PASS_BLOCKS = 16
+SHARD_WORDS = 1 << 20
 SHARD_TEXT = 4 << 20
 SAMPLE = 8
+#: Bytes of words stay, with A-Z lower-cased; all others become spaces.
+_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_STATE = "n_words long, hits array<struct<start:long,end:long>>, own array<string>"
 FOUND = "doc_id long, n_words long, n_hit long, items array<string>, n_items long, spans array<struct<start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(_WORDS).split()
+
+
+def word_slices(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some MB of it at a time; cuts fall between words."""
+    at = 0
+    while at < len(text):
+        end = at + SHARD_TEXT
+        if end < len(text):
+            word = WORD.match(text[end : end + SHARD_TEXT].lower())
+            end += word.end() if word else 0
+        yield words_of(text[at:end])
+        at = end
+
+
 class Windows:
     """The distinct windows of a block of benchmark items, as rows of word numbers (1 and up)."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
+        vocabulary: dict[bytes, int] = {}
         self.items: list = []
         number: dict = {}
         by_length: dict[int, dict[bytes, set[int]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall(utf8(text).lower())]
+            words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(utf8(text))]
             if not words:
                 continue
             if item_id not in number:
                 number[item_id] = len(self.items)
-                self.items.append(item_id)
+                self.items.append(None if item_id is None else str(item_id))
             n = min(window, len(words))
             row = np.array(words, np.int32)
             for at in range(len(words) - n + 1):
                 by_length[n][row[at : at + n].tobytes()].add(number[item_id])
+        self.words = list(vocabulary)
         #: length -> (windows as a matrix, items of each)
         self.groups = {n: (np.frombuffer(b"".join(found), np.int32).reshape(-1, n), [sorted(x) for x in found.values()]) for n, found in sorted(by_length.items())}
-        short = [m for n, (m, _) in self.groups.items() if n < window]
-        self.short_words = {int(w) for m in short for w in np.unique(m)}
-        self.shortest = min(self.groups, default=0)
-        self.window = window
 
 
 class WaveletMatrix:
@@ -102,25 +122,39 @@ class WaveletMatrix:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Start positions of all suffixes in order, by prefix doubling. Separators (0) are all unlike."""
+    """Start positions of all suffixes in order, by prefix doubling. Separators (0) are all unlike.
+
+    A rank is the place of the first suffix that is alike so far. Each round sorts only the
+    suffixes that still share a rank.
+    """
     n = len(text)
     separators = text == 0
-    rank = np.where(separators, np.cumsum(separators) - 1, text.astype(np.int64) + int(separators.sum()))
-    step = 1
+    symbol = np.where(separators, np.cumsum(separators) - 1, text.astype(np.int64) + int(separators.sum()))
+    base = int(symbol.max()) + 2
+    depth = 3 if base**3 < 1 << 62 else 2
+    key = symbol.copy()
+    for k in range(1, depth):
+        key *= base
+        key[:-k] += symbol[k:] + 1
+    order = np.argsort(key)
+    places = np.arange(n)
+    rank = np.empty(n, np.int64)
+    sorted_key = key[order]
     while True:
-        following = np.zeros(n, np.int64)
-        following[:-step or n] = rank[step:] + 1
-        key = rank * (int(rank.max()) + 2) + following
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
-        step *= 2
-        if step >= n:
+        fresh = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+        first = np.maximum.accumulate(np.where(fresh, places, 0))
+        rank[order[places]] = first
+        alone = fresh & np.concatenate([fresh[1:], [True]])
+        places = places[~alone]
+        if not len(places):
             return order
+        suffix = order[places]
+        beyond = suffix + depth
+        key = rank[suffix] * (n + 1) + np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        order[places] = suffix[by]
+        sorted_key = key[by]
+        depth *= 2
 
 
 class FMIndex:
@@ -170,51 +204,48 @@ class FMIndex:
         return out
 
 
-def _runs(ids: np.ndarray, windows: Windows) -> list[tuple[int, int]]:
-    """Runs of vocabulary words that can hold a window."""
-    inside = np.concatenate([[False], ids > 0, [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    long = ends - starts >= windows.window
-    if windows.shortest < windows.window:
-        some = np.concatenate([[0], np.cumsum(np.isin(ids, list(windows.short_words)))])
-        long |= some[ends] - some[starts] >= windows.shortest
-    return list(zip(starts[long].tolist(), ends[long].tolist()))
+class _Numbers(dict):
+    """Numbers of words from 1, in the order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self) + 1
+        return number
 
 
 class Shard:
-    """Documents of one index. ``hits`` holds, for each document, marked words and items."""
-
-    def __init__(self, windows: Windows):
-        self.windows, self.pieces, self.where, self.size = windows, [], [], 0
-
-    def add(self, doc: int, ids: np.ndarray) -> None:
-        for s, e in _runs(ids, self.windows):
-            self.where.append((self.size, doc, s))
-            self.pieces.append(ids[s:e])
-            self.pieces.append(np.zeros(1, np.int32))
-            self.size += e - s + 1
-
-    def search(self) -> dict[int, list[tuple[int, int, list[int]]]]:
-        """document -> (first word, end, items) of each occurrence."""
-        found: dict[int, list] = defaultdict(list)
-        if not self.pieces:
-            return found
-        index = FMIndex(np.concatenate(self.pieces), len(self.windows.vocabulary))
-        begin = np.array([w[0] for w in self.where])
-        for n, (patterns, items) in self.windows.groups.items():
-            alive, low, high = index.count(patterns)
+    """Documents of one index, and the alphabet of their words."""
+
+    def __init__(self):
+        self.numbers, self.pieces, self.starts, self.where, self.size = _Numbers(), [], [], [], 0
+
+    def add(self, doc: int, first: int, words: list[bytes]) -> None:
+        """Words of a document, from its word number ``first``."""
+        self.starts.append(self.size)
+        self.where.append((doc, first))
+        self.pieces.append(np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+        self.pieces.append(np.zeros(1, np.int32))
+        self.size += len(words) + 1
+
+    def index(self) -> FMIndex:
+        return FMIndex(np.concatenate(self.pieces), len(self.numbers))
+
+    def search(self, index: FMIndex, block: Windows) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(document, first word, end, items) of each occurrence of a block's windows."""
+        known = np.array([0, *(self.numbers.get(w, 0) for w in block.words)], np.int32)
+        starts = np.array(self.starts)
+        for n, (windows, items) in block.groups.items():
+            patterns = known[windows]
+            some = np.flatnonzero((patterns > 0).all(axis=1))
+            alive, low, high = index.count(patterns[some])
             if not len(alive):
                 continue
-            which = np.repeat(alive, high - low)
-            rows = np.concatenate([np.arange(a, b) for a, b in zip(low.tolist(), high.tolist())])
-            at = index.locate(rows)
-            run = np.searchsorted(begin, at, side="right") - 1
-            for pattern, position, r in zip(which.tolist(), at.tolist(), run.tolist()):
-                first, doc, word = self.where[r]
-                start = word + position - first
-                found[doc].append((start, start + n, items[pattern]))
-        return found
+            which = some[np.repeat(alive, high - low)]
+            within = np.arange(len(which)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+            at = index.locate(np.repeat(low, high - low) + within)
+            piece = np.searchsorted(starts, at, side="right") - 1
+            for pattern, position, p in zip(which.tolist(), (at - starts[piece]).tolist(), piece.tolist()):
+                doc, first = self.where[p]
+                yield doc, first + position, first + position + n, items[pattern]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -228,66 +259,83 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _let_go(handle: Broadcast, blocks: list[Broadcast] | range) -> None:
-    """Drop this process's copy of one of several blocks; the next use reads it from disk again."""
-    if len(blocks) > 1:
-        vars(handle).pop("_value", None)
-
-
 class Finder:
-    """Searches texts shard by shard, in one block of windows after another.
+    """Searches texts shard by shard: one index for each shard, and all blocks of windows in it."""
 
-    With several blocks, each is read again for each shard, so that a worker holds one.
-    """
-
-    def __init__(self, blocks: list[Broadcast]):
-        self.blocks = blocks
+    def __init__(self, blocks: list[Broadcast], window: int = WINDOW):
+        self.blocks, self.window = blocks, window
+        self.only = Windows(blocks[0].value, window) if len(blocks) == 1 else None
+        self.indexed = self.tokenised = 0
 
-    def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], list]]:
+    def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set]]:
         """(number of words, merged hit spans in words, items) of each text."""
         count = [0] * len(texts)
         spans: list[list] = [[] for _ in texts]
         items: list[set] = [set() for _ in texts]
+        shard = Shard()
+        for doc, text in enumerate(texts):
+            tail: list[bytes] = []
+            self.tokenised += 1
+            for words in word_slices(text):
+                if words:
+                    shard.add(doc, count[doc] - len(tail), tail + words)
+                    self.indexed += len(words)
+                    count[doc] += len(words)
+                    tail = (tail + words)[1 - self.window :] if self.window > 1 else []
+                if shard.size >= SHARD_WORDS:
+                    self._settle(shard, spans, items)
+                    shard = Shard()
+        self._settle(shard, spans, items)
+        return [(n, merge(s), own) for n, s, own in zip(count, spans, items)]
+
+    def _settle(self, shard: Shard, spans: list[list], items: list[set]) -> None:
+        if not shard.size or not self.blocks:
+            return
+        index = shard.index()
         for handle in self.blocks:
-            block = handle.value
-            _let_go(handle, self.blocks)
-            get = block.vocabulary.get
-            shard = Shard(block)
-
-            def settle(shard: Shard) -> None:
-                for doc, hits in shard.search().items():
-                    spans[doc] += [(s, e) for s, e, _ in hits]
-                    items[doc].update((shard.windows.items[i],) for _, _, own in hits for i in own)
-
-            for doc, text in enumerate(texts):
-                words = WORD.findall(text.lower())
-                count[doc] = len(words)
-                shard.add(doc, np.array([get(w, 0) for w in words], np.int32))
-                if shard.size >= SHARD_SYMBOLS:
-                    settle(shard)
-                    shard = Shard(block)
-            settle(shard)
-        if not self.blocks:
-            count = [len(WORD.findall(t.lower())) for t in texts]
-        return [(n, merge(s), [i[0] for i in own]) for n, s, own in zip(count, spans, items)]
-
-
-def word_offsets(text: bytes) -> list[tuple[int, int]]:
-    return [m.span() for m in WORD.finditer(text.lower())]
-
-
-def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> list[Broadcast]:
-    """Windows of the benchmark in blocks of about ``BLOCK_BYTES`` of text, each read and broadcast on its own."""
+            block = self.only or Windows(handle.value, self.window)
+            for doc, start, end, own in shard.search(index, block):
+                spans[doc].append((start, end))
+                items[doc].update(block.items[i] for i in own)
+
+
+def points_of(text: bytes, spans: list[tuple[int, int]], unit: str = "points") -> list[tuple[int, int]]:
+    """Spans of words as spans of code points (or bytes), start of the first word to end of the last."""
+    edges = {w for s, e in spans for w in (s, e - 1)}
+    where = {}
+    if edges:
+        last = max(edges)
+        for k, m in enumerate(WORD.finditer(text.lower())):
+            if k in edges:
+                where[k] = m.span()
+            if k == last:
+                break
+    out = [(where[s][0], where[e - 1][1]) for s, e in spans]
+    if unit == "bytes":
+        return out
+    points, at, seen = {}, 0, 0
+    for byte in sorted({b for span in out for b in span}):
+        seen += len(text[at:byte].decode("utf-8", "surrogatepass"))
+        points[byte], at = seen, byte
+    return [(points[s], points[e]) for s, e in out]
+
+
+def benchmark_passes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list[Broadcast], bool]]:
+    """The benchmark in blocks of about ``BLOCK_BYTES`` of text, each read and broadcast on its own.
+
+    Yields the blocks of one pass at a time, and whether it is the last; a benchmark without text
+    has one pass without blocks.
+    """
     rows = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
     context = benchmark.sparkSession.sparkContext
-    out = []
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        out.append(context.broadcast(Windows([tuple(r) for r in part.collect()], window)))
-        _let_go(out[-1], range(n))
-    return out
+    for at in range(0, max(n, 1), PASS_BLOCKS):
+        out = []
+        for k in range(at, min(n, at + PASS_BLOCKS)):
+            part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+            out.append(context.broadcast([tuple(r) for r in part.collect()]))
+        yield out, at + PASS_BLOCKS >= n
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -296,7 +344,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     texts: list[bytes] = []
     size = 0
     for part in row_slices(batches):
-        own = [utf8(t) for t in part.column("text").to_pylist()]
+        own = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
         held.append(part)
         texts += own
         size += sum(map(len, own))
@@ -309,36 +357,40 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Hits of each document: words, hit words, items (as strings, sorted) and merged spans of code points."""
-    blocks = benchmark_blocks(benchmark, item_col, item_text, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(blocks)
-        for part, texts in _shards(batches):
-            n_words, n_hit, items, n_items, spans = [], [], [], [], []
-            for text, (n, hits, own) in zip(texts, finder.search(texts)):
-                n_words.append(n)
-                n_hit.append(sum(e - s for s, e in hits))
-                items.append(sorted({str(i) for i in own if i is not None}))
-                n_items.append(len(own))
-                if hits:
-                    at = word_offsets(text)
-                    points = lambda byte: len(text[:byte].decode("utf-8", "surrogatepass"))  # noqa: B023, E731
-                    spans.append([{"start": points(at[s][0]), "end": points(at[e - 1][1])} for s, e in hits])
-                else:
-                    spans.append([])
-            arrays = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_items, pa.int64()), pa.array(spans, _SPANS)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "items", "n_items", "spans"])
-
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, FOUND)
+    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    for blocks, last in benchmark_passes(benchmark, item_col, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], blocks=blocks, last=last) -> Iterator[pa.RecordBatch]:
+            finder = Finder(blocks, window)
+            for part, texts in _shards(batches):
+                found = finder.search(texts)
+                if "hits" in part.schema.names:
+                    before = zip(part.column("hits").to_pylist(), part.column("own").to_pylist())
+                    found = [(n, merge(hits + [(h["start"], h["end"]) for h in old]), own | set(known)) for (n, hits, own), (old, known) in zip(found, before)]
+                n_words, hits, own = zip(*found)
+                if not last:
+                    arrays = [part.column("doc_id"), part.column("text"), pa.array(n_words, pa.int64()), pa.array([[{"start": s, "end": e} for s, e in h] for h in hits], _SPANS), pa.array([list(x) for x in own], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "n_words", "hits", "own"])
+                    continue
+                spans = [[{"start": s, "end": e} for s, e in points_of(t, h)] for t, h in zip(texts, hits)]
+                names = [sorted(i for i in x if i is not None) for x in own]
+                arrays = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array([sum(e - s for s, e in h) for h in hits], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(map(len, own), pa.int64()), pa.array(spans, _SPANS)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_hit", "items", "n_items", "spans"])
+
+        if last:
+            return map_batches(state, run, FOUND)
+        state = checkpointed(map_batches(state, run, f"doc_id long, text string, {_STATE}"))
+        for handle in blocks:
+            handle.unpersist()
+    raise AssertionError("the last pass returns")
 
 
 def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without its hit words, and a line break in place of each span."""
-    at = word_offsets(text)
     out, begin = [], 0
-    for s, e in spans:
-        out.append(text[begin : at[s][0]])
-        begin = at[e - 1][1]
+    for s, e in points_of(text, spans, "bytes"):
+        out.append(text[begin:s])
+        begin = e
     out.append(text[begin:])
     return b"\n".join(out)
 
@@ -347,43 +399,62 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, text_col: str = "text
     """The documents, all columns kept, with benchmark passages cut out of their texts.
 
     Cutting may bring the words of another window together, so a changed text is searched
-    again until nothing is found. A text left without words is dropped. ``chars_col``, where
-    present, is brought up to date in changed rows.
+    again until nothing is found; where the benchmark takes several passes, these are repeated
+    until none of them changes a text. A text left without words is dropped. ``chars_col``,
+    where present, is brought up to date in changed rows.
     """
-    blocks = benchmark_blocks(benchmark, item_col, item_text, window)
-    names = {"text": "__new_text", "changed": "__changed", "empty": "__emptied"}
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(blocks)
-        for part, texts in _shards(batches):
-            old = part.column("text").to_pylist()
-            new: list = [None] * len(texts)
-            emptied = [False] * len(texts)
-            todo = list(range(len(texts)))
-            while todo:
-                again = []
-                for k, (n, hits, _) in zip(todo, finder.search([texts[k] for k in todo])):
-                    if hits:
-                        texts[k] = cut_spans(texts[k], hits)
-                        new[k] = texts[k].decode("utf-8", "surrogatepass")
-                        again.append(k)
-                    elif new[k] is not None:
-                        emptied[k] = not n
-                todo = again
-            changed = [x is not None for x in new]
-            kept = [x if x is not None else o for x, o in zip(new, old)]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(kept, pa.string()), pa.array(changed), pa.array(emptied)], names=["row", *names.values()])
-
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, {names['text']} string, {names['changed']} boolean, {names['empty']} boolean"
-    cut = map_batches(packed, run, schema).filter(f"NOT {names['empty']}")
+    # the text goes through Python once, and all other columns in one struct beside it
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(*(F.col(f"`{c}`") for c in others), F.lit(0).alias("__row")).alias("row")
+    state = docs.select(row, F.col(text_col).alias("text"), F.lit(False).alias("changed"), F.lit(False).alias("empty"))
+    schema = f"row {state.schema['row'].dataType.simpleString()}, text string, changed boolean, empty boolean"
+
+    def one_pass(state: DataFrame, blocks: list[Broadcast]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(blocks, window)
+            for part, texts in _shards(batches):
+                new: dict[int, bytes] = {}
+                empty = part.column("empty").to_pylist()
+                todo = list(range(len(texts)))
+                while todo:
+                    again = []
+                    for k, (n, hits, _) in zip(todo, finder.search([texts[k] for k in todo])):
+                        if hits:
+                            new[k] = texts[k] = cut_spans(texts[k], hits)
+                            again.append(k)
+                        elif k in new:
+                            empty[k] = not n
+                    todo = again
+                column = part.column("text")
+                if new:
+                    column = pa.array([new[k] if k in new else old for k, old in enumerate(column.cast(pa.binary()).to_pylist())], pa.binary()).cast(pa.string())
+                changed = [old or k in new for k, old in enumerate(part.column("changed").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("row"), column, pa.array(changed), pa.array(empty)], names=["row", "text", "changed", "empty"])
+
+        return map_batches(state, run, schema)
+
+    while True:
+        passes = 0
+        before = state
+        for blocks, last in benchmark_passes(benchmark, item_col, item_text):
+            state = one_pass(state, blocks)
+            passes += 1
+            if not last or passes > 1:
+                state = checkpointed(state)
+                for handle in blocks:
+                    handle.unpersist()
+        # rows keep their text's checksum when nothing was cut
+        mark = F.sum(F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+        if passes == 1 or before.agg(mark).first()[0] == state.agg(mark).first()[0]:
+            break
+    cut = state.filter("NOT empty")
 
     def column(c: str):
         old = F.col(f"row.`{c}`")
         if c == text_col:
-            return F.col(names["text"]).alias(c)
+            return F.col("text").alias(c)
         if c == chars_col:
-            return F.when(F.col(names["changed"]), F.char_length(names["text"]).cast(docs.schema[c].dataType)).otherwise(old).alias(c)
+            return F.when(F.col("changed"), F.char_length("text").cast(docs.schema[c].dataType)).otherwise(old).alias(c)
         return old.alias(c)
 
     return cut.select(*(column(c) for c in docs.columns))

@@ -70,9 +70,10 @@ def windows_of(items):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 60])
-def test_passages(spark, odd, block, monkeypatch):
+@pytest.mark.parametrize("block, passes", [(1 << 20, 16), (60, 16), (60, 2)])
+def test_passages(spark, odd, block, passes, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", passes)
     items = [(1, SHARED), (2, "a b"), (3, None), (4, "..."), (10, SHARED + " and more"), (10, "日本語"), (5, " ".join(LONG.split()[500:530]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     windows = windows_of(items)
@@ -100,12 +101,41 @@ def test_passages_random(spark):
         assert (got[r.doc_id].n_words, got[r.doc_id].n_hit, set(got[r.doc_id]["items"])) == (n, hit, set(map(str, own)))
 
 
+def test_index_holds_the_shard(monkeypatch):
+    """All words are indexed, once for all blocks; long texts in pieces that overlap."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(rng.choice("abcde") + rng.choice("xyz.") for _ in range(n)).encode()
+    items = [(k, text(rng.randint(0, 30)).decode()) for k in range(30)]
+    windows = windows_of(items)
+    texts = [text(n) for n in (0, 5, 700, 3, 90, 1500, 40)] + [b"", "é".encode() * 70]
+    Block = collections.namedtuple("Block", "value")
+    want = [hits(t.decode(), windows) for t in texts]
+    for size in (100, 64, 1 << 20):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
+        monkeypatch.setattr(decontaminate, "SHARD_TEXT", 3 * size)
+        for blocks in (1, 4):
+            finder = decontaminate.Finder([Block(items[k::blocks]) for k in range(blocks)])
+            got = finder.search(texts)
+            assert [(n, sum(e - s for s, e in h), set(map(int, own))) for n, h, own in got] == want
+            assert finder.tokenised == len(texts) and finder.indexed == sum(n for n, _, _ in want)
+
+
 def test_passages_empty(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_passages(odd, none).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.find_passages(odd.limit(0), none).count() == 0 and decontaminate.remove_passages(odd, none).count() == odd.count()
 
 
+def test_suffixes_in_order():
+    rng = random.Random(12)
+    for n in (1, 2, 3, 40, 900):
+        for letters in (1, 2, 5, 300):
+            text = [rng.randint(0 if rng.random() < 0.1 else 1, letters) for _ in range(n)] + [0]
+            count = iter(range(len(text)))
+            unlike = [(0, next(count)) if c == 0 else (c, 0) for c in text]
+            assert decontaminate.suffix_order(np.array(text, np.int32)).tolist() == sorted(range(len(text)), key=lambda i: unlike[i:])
+
+
 def test_index_ranks():
     text = np.array([3, 1, 2, 1, 0, 1, 2, 1, 2, 0], np.int32)
     index = decontaminate.FMIndex(text, 3)
