@@ -238,6 +238,39 @@ def test_near_copies(spark, odd):
     assert simhash_dedup.keep_one(empty, found=near_copies.groups(empty)).count() == 0
 
 
+def test_crowded_near_copies(spark, monkeypatch):
+    """A large group around one text, of which many members do not link with its vantage point."""
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(150)]
+    texts = []
+    for k in range(260):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice((0, 1, 2, 3, 4, 5, 6, 8))):
+            w[at] = f"e{rng.randrange(10**7)}"
+        texts.append(" ".join(w))
+    # others that are alike among themselves, away from the vantage point
+    second = [w if k % 29 else f"s{k}" for k, w in enumerate(base)]
+    for k in range(60):
+        w = list(second)
+        w[rng.randrange(150)] = f"f{k}"
+        texts.append(" ".join(w))
+    sets = five_word_sets(texts)
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    made = []
+    met = near_copies._met
+    monkeypatch.setattr(near_copies, "_met", lambda pairs, found: (made.append(pairs), met(pairs, found))[1])
+    got = {r.doc_id: r.root for r in near_copies.groups(frame(spark, texts)).collect()}
+    same = collections.defaultdict(set)
+    for k in range(len(texts)):
+        same[root[k]].add(got[k])
+    assert all(len(x) == 1 for x in same.values()) and len(set(got.values())) == len(set(root)) < len(texts)
+    assert made[2].count() < len(texts) ** 2 / 40
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline
 
