@@ -721,6 +721,34 @@ def test_map_is_edited(spark, tmp_path):
     for version in (first, grown):
         sharding.save_map(spark, version, path)
     assert sharding.load_map(spark, path) == grown and sharding.load_map(spark, path, 1) == first
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.save_map(spark, grown, path)
+
+
+def test_stored_map_decides(spark, tmp_path):
+    docs = frame(spark, ["x" * (k % 90) for k in range(2000)])
+    path = str(tmp_path / "map")
+    totals = sharding.slot_totals(sharding.with_slots(docs))
+    sharding.save_map(spark, sharding.first_map(totals, 10), path)
+    rows = sharding.shard_documents(docs, 11, map_path=path).collect()
+    shard = {r[1]: r[2] for r in sharding.load_map(spark, path, 2)}
+    assert all(r.shard == shard[r.virtual_slot] for r in rows) and len({r.shard for r in rows}) == 11
+    old = {r[1]: r[2] for r in sharding.load_map(spark, path, 1)}
+    assert all(r.shard in (old[r.virtual_slot], 10) for r in rows)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 50])
+def test_copies_spread(spark, monkeypatch, most):
+    monkeypatch.setattr(sharding, "MOST_BUNDLES", most)
+    docs = frame(spark, [None] * 3000 + ["a" * 20] * 3000 + ["b" * (k % 40) for k in range(3000)], [None] * 3000 + [7] * 3000 + list(range(100, 3100)))
+    rows = sharding.shard_documents(docs, 10).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    assert len(rows) == 9000 and all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
+    assert collections.Counter((r.doc_id, r.size) for r in rows) == collections.Counter((r.doc_id, len(r.text or "") + 16) for r in docs.collect())
+    sizes = [sum(r.size for r in rs) for rs in by.values()]
+    assert len(sizes) == 10 and max(sizes) - min(sizes) < (0.05 if most > 50 else 0.3) * np.mean(sizes)
 
 
 # Queries ------------------------------------------------------------------------------------
