@@ -1,8 +1,9 @@
 """Secret scans with a random forest against false positives (DataFrame and SQL functions only).
 
 Candidates are long runs of key-like characters with a digit in them. Each is described by its
-length, its changes of character class, how much of it dictionary pieces cover, its class
-shares, signs of a path around it, and the words before it. A random forest decides which
+length, its changes of character class, how many of its character transitions are common ones,
+how much of it dictionary pieces cover, its class shares, signs of a path around it, and the words
+before it and after it. A random forest decides which
 candidates are secrets. It is trained with Spark ML on labelled findings made from a seed by
 SQL functions, and then written out as one SQL expression, so scanning is a projection: no
 Python, no shuffle and no explosion of texts into rows.
@@ -26,20 +27,24 @@ CANDIDATE = f"(?<![{RUN}])(?=[A-Za-z+/_-]*+[0-9])[{RUN}]{{12,}}+={{0,2}}"
 STEP = rf"\G(?s:.*?){CANDIDATE}"
 AT_END = f"[{RUN}]++={{0,2}}$"
 CONTEXT = 32
+#: Candidates whose lengths are added up at once, so that offsets take near linear time.
+OFFSETS = 256
 PLACEHOLDER = "<SECRET>"
 TREES, DEPTH, SEED, EXAMPLES = 15, 6, 6, 6000
 
 # Pieces of words and names that random strings seldom hold.
 DICTIONARY = "tion ing the and ent ther that user name test data file index image config example version table page item http html json build release order value group class type time date main core util commit branch module string number token secret password key".split()
+TRANSITIONS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
 KEY_WORDS = "passw|pwd|secret|token|api.?key|access.?key|credential|auth|bearer"
 OTHER_WORDS = "commit|revision|sha-?[0-9]*|md5|checksum|digest|hash|uuid|guid|version|etag|example|sample|invoice|order|isbn|phone|card|id"
 PREFIXES = "AKIA|ASIA|ghp_|gho_|glpat-|xox[bp]-|sk_live_|AIza|eyJ"
-FEATURES = ("length", "changes", "coverage", "digits", "capitals", "path", "key_word", "assigned", "other_word", "prefix", "uuid", "distinct")
+FEATURES = ("length", "changes", "transitions", "coverage", "digits", "capitals", "path", "key_word", "assigned", "other_word", "key_after", "other_after", "prefix", "uuid", "distinct")
 
 
-def features(word: Column, before: Column) -> list[Column]:
-    """The values of ``FEATURES``, as doubles, of a candidate and the text before it."""
+def features(word: Column, before: Column, after: Column) -> list[Column]:
+    """The values of ``FEATURES``, as doubles, of a candidate and the text before and after it."""
     low, ahead = F.lower(word), F.lower(before)
+    behind = F.lower(F.regexp_extract(after, r"^[^\n.;,]*", 0))  # what follows in its clause
     n = F.length(word).cast("double")
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     classes = F.translate(word, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 5)
@@ -47,6 +52,7 @@ def features(word: Column, before: Column) -> list[Column]:
     return [
         n,
         (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / n,
+        F.regexp_count(low, F.lit(f"(?={'|'.join(TRANSITIONS)})")) / n,
         1 - left / n,
         F.length(F.regexp_replace(word, "[^0-9]", "")) / n,
         F.length(F.regexp_replace(word, "[^A-Z]", "")) / n,
@@ -54,6 +60,8 @@ def features(word: Column, before: Column) -> list[Column]:
         flag(ahead.rlike(KEY_WORDS)),
         flag(before.rlike(r"[=:]\s*[\"']?$")),
         flag(ahead.rlike(rf"\b({OTHER_WORDS})\b")),
+        flag(behind.rlike(KEY_WORDS)),
+        flag(behind.rlike(rf"\b({OTHER_WORDS})\b")),
         flag(word.rlike(f"^({PREFIXES})")),
         flag(word.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
         F.size(F.array_distinct(F.split(word, ""))) / n,
@@ -61,7 +69,7 @@ def features(word: Column, before: Column) -> list[Column]:
 
 
 def labelled_findings(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED) -> DataFrame:
-    """(before, word, label): secrets and look-alikes, every one from a hash of its number."""
+    """(before, word, after, label): secrets and look-alikes, every one from a hash of its number."""
     h = lambda k: F.sha2(F.concat_ws("-", "id", F.lit(seed), F.lit(k)), 512)
     pick = lambda k, m: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(m)).cast("int")
     choose = lambda k, options: F.get(F.array(*map(F.lit, options)), pick(k, len(options)))
@@ -75,11 +83,16 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED)
     other = F.concat(prose, F.lit(" "), choose(22, ["commit ", "sha256:", "md5 ", "checksum=", "uuid=", "version ", "etag: \"", "digest: ", "hash ", "example ", "revision "]))
     plain = F.concat(prose, F.lit(" "))
     size = 12 + pick(16, 40)
+    calm = choose(30, ["", " and more", "\nnext line", "\" then", ", which", " in the log"])
+    key_after = choose(31, [" is the password", " as the secret", " (api key)", " for auth"])
+    other_after = choose(32, [" (sha256)", " is the commit", " checksum", " as version", " digest"])
+    tail = lambda own, foreign: F.when(pick(33, 8) < 2, own).when(pick(33, 8) == 2, foreign).otherwise(calm)
     cases = [
         (1, ahead, F.substring(h(4), F.lit(1), size)),
         (1, ahead, F.substring(base64, F.lit(1), size)),
         (1, F.when(pick(17, 2) == 0, ahead).otherwise(plain), F.concat(F.lit("AKIA"), F.substring(capitals, 1, 16))),
         (1, F.when(pick(17, 2) == 0, ahead).otherwise(plain), F.concat(choose(18, ["ghp_", "gho_", "glpat-", "sk_live_", "AIza", "xoxb-"]), F.substring(base64, 1, 32))),
+        (1, plain, F.substring(base64, F.lit(1), size), key_after),
         (0, other, F.substring(h(5), F.lit(1), F.get(F.array(*map(F.lit, [12, 32, 40, 64])), pick(19, 4)))),
         (0, plain, F.substring(h(6), F.lit(1), size)),
         (0, F.when(pick(17, 2) == 0, other).otherwise(plain), uuid),
@@ -90,8 +103,8 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES, seed: int = SEED)
         (0, plain, F.concat(choose(27, DICTIONARY), choose(28, DICTIONARY), F.lit("-"), digits)),
     ]
     table = spark.range(n, numPartitions=1).withColumn("kind", (F.col("id") % len(cases)).cast("int"))
-    case = F.get(F.array(*(F.struct(b.alias("before"), w.alias("word"), F.lit(y).cast("double").alias("label")) for y, b, w in cases)), F.col("kind"))
-    return table.select(case.alias("x")).select("x.before", "x.word", "x.label")
+    case = F.get(F.array(*(F.struct(b.alias("before"), w.alias("word"), (after[0] if after else tail(key_after, other_after) if y else tail(other_after, key_after)).alias("after"), F.lit(y).cast("double").alias("label")) for y, b, w, *after in cases)), F.col("kind"))
+    return table.select(case.alias("x")).select("x.before", "x.word", "x.after", "x.label")
 
 
 def _leaf_or_split(node, depth: int = 0):
@@ -108,7 +121,7 @@ def _trained(app: str, seed: int) -> tuple:
     from pyspark.ml.feature import VectorAssembler
 
     found = labelled_findings(spark, seed=seed)
-    rows = found.select("label", *(c.alias(n) for c, n in zip(features(F.col("word"), F.col("before")), FEATURES)))
+    rows = found.select("label", *(c.alias(n) for c, n in zip(features(F.col("word"), F.col("before"), F.col("after")), FEATURES)))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("label", "features")
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(vectors)
     return tuple(_leaf_or_split(tree._call_java("rootNode")) for tree in model.trees)
@@ -133,31 +146,41 @@ def votes(trees: tuple, values: Column) -> Column:
 
 def candidates(text: Column, trees: tuple) -> Column:
     """array<struct<step, word, skipped, score>>: each candidate with the text that leads to it."""
-    steps = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(STEP), F.lit(0))
+    whole = F.coalesce(text, F.lit(""))
+    steps = F.regexp_extract_all(whole, F.lit(STEP), F.lit(0))
 
     def describe(step: Column) -> Column:
         word = F.regexp_extract(step, AT_END, 0)
         return F.struct(step.alias("step"), word.alias("word"), (F.length(step) - F.length(word)).cast("long").alias("skipped"))
 
-    def weigh(x: Column) -> Column:
+    def weigh(x: Column, after: Column) -> Column:
         before = F.substring(x["step"], F.greatest(x["skipped"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(x["skipped"], F.lit(CONTEXT)).cast("int"))
-        shape = F.struct(*(c.alias(n) for c, n in zip(features(x["word"], before), FEATURES)))
+        shape = F.struct(*(c.alias(n) for c, n in zip(features(x["word"], before, after), FEATURES)))
         # an array of one, so that the features are worked out once and not at every split
         score = F.transform(F.array(shape), lambda v: votes(trees, v))[0]
         return F.struct(x["step"].alias("step"), x["word"].alias("word"), x["skipped"].alias("skipped"), score.alias("score"))
 
-    return F.transform(F.transform(steps, describe), weigh)
+    # arrays of one again: the steps and the rest of the text are found once, not for each candidate
+    found = F.transform(F.array(F.transform(steps, describe)), lambda xs: F.struct(xs.alias("steps"), F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x["step"])).alias("read")))
+    ended = F.transform(found, lambda y: F.struct(y["steps"].alias("steps"), F.substring(whole, y["read"] + 1, F.lit(CONTEXT)).alias("rest")))
+    following = lambda y, i: F.coalesce(F.substring(F.get(y["steps"], i + 1)["step"], 1, CONTEXT), y["rest"])
+    return F.transform(ended, lambda y: F.transform(y["steps"], lambda x, i: weigh(x, following(y, i))))[0]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, n_candidates, n_secrets, secrets: start, end, word, score) of every row."""
     trees = forest(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), candidates(F.col(text_col), trees).alias("found"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(x["step"]))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("found") / OFFSETS).cast("int")), lambda k: total(F.slice("found", k * OFFSETS + 1, F.lit(OFFSETS))))
+    found = found.withColumn("blocks", blocks)
     numbered = F.transform("found", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     secret = F.filter(numbered, lambda y: y["x"]["score"] > threshold)
 
     def span(y: Column) -> Column:
-        end = F.aggregate(F.slice("found", 1, y["i"] + 1), F.lit(0).cast("long"), lambda a, x: a + F.length(x["step"]))
+        block = F.floor(y["i"] / OFFSETS).cast("int")
+        ahead = F.aggregate(F.slice("blocks", F.lit(1), block), F.lit(0).cast("long"), lambda a, n: a + n)
+        end = ahead + total(F.slice("found", block * OFFSETS + 1, y["i"] - block * OFFSETS + 1))
         return F.struct((end - F.length(y["x"]["word"])).alias("start"), end.alias("end"), y["x"]["word"].alias("word"), y["x"]["score"].alias("score"))
 
     marked = found.select("doc_id", F.size("found").cast("long").alias("n_candidates"), F.transform(secret, span).alias("secrets"))

@@ -522,10 +522,27 @@ def test_secrets(spark, odd):
     assert secret_scan.scan(odd.limit(0)).count() == 0
 
 
+def test_many_secrets(spark, monkeypatch):
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyz23456789") for _ in range(28)) + "7"
+    text = "".join(f"password={key()} x\n" if rng.random() < 0.5 else f"é commit {rng.getrandbits(160):040x}\n" for _ in range(1500))
+    for size in (256, 7):
+        monkeypatch.setattr(secret_scan, "OFFSETS", size)
+        row = secret_scan.scan(frame(spark, [text])).first()
+        assert row.n_candidates == 1500 and row.n_secrets > 500 and all(text[s.start : s.end] == s.word for s in row.secrets)
+
+
+def test_words_after_decide(spark):
+    key = "q7Rk2mXv9TzLw4Bn8HcY"
+    rows = frame(spark, [f"so was that {key} is the password", f"so was that {key}"])
+    found = {r.doc_id: r.n_secrets for r in secret_scan.scan(rows).collect()}
+    assert found[0] == 1
+
+
 def test_secret_forest_held_out(spark):
     trees = secret_scan.forest(spark)
     rows = secret_scan.labelled_findings(spark, 1200, seed=99)
-    shape = F.struct(*(c.alias(n) for c, n in zip(secret_scan.features(F.col("word"), F.col("before")), secret_scan.FEATURES)))
+    shape = F.struct(*(c.alias(n) for c, n in zip(secret_scan.features(F.col("word"), F.col("before"), F.col("after")), secret_scan.FEATURES)))
     right = rows.select(((secret_scan.votes(trees, shape) > 0.5).cast("double") == F.col("label")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
     assert right > 0.97
 
