@@ -1,11 +1,13 @@
 """License scans: winnowed template fingerprints, an inverted index, and banded alignment.
 
-Templates are reduced to words, and their word k-grams winnowed: of every ``WINDOW`` grams in a
-row the one of the least hash stands in the inverted index, so any ``K + WINDOW - 1`` words in
-a row shared with a template meet it. All k-grams of a document are looked up; those with a
-word that no template has can't be in the index. Hits of one template on nearby diagonals make
-a candidate, and a candidate is aligned to the template within ``BAND`` words of its diagonal. A
-match covers at least ``COVERAGE`` of the template's words.
+Templates are reduced to words, and their word k-grams winnowed: of every few grams in a row the
+one of the least hash stands in the inverted index. A changed or missing word spoils ``K`` grams at
+most, so a passage that covers enough of a template keeps a known number of its selected grams.
+Of the windows up to ``WINDOW`` each template takes the widest for which that number is above
+zero, which is one gram, all of them, for the shortest. All k-grams of a document are looked up;
+those with a word that no template has can't be in the index. As many hits of one template on
+nearby diagonals make a candidate, and a candidate is aligned to the template within ``BAND`` words
+of its diagonal. A match covers at least ``COVERAGE`` of the template's words.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, with A-Z lower-cased.
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from latora.llm.common import map_batches, row_slices, utf8
 
-K = 3
+K = 2
 WINDOW = 3
 BAND = 8
 COVERAGE = 0.8
@@ -74,18 +76,25 @@ def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
 class Index:
     """The templates' words, and an inverted index from winnowed k-grams to (template, place)."""
 
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE):
         self.names = sorted(templates)
         self.vocabulary: dict[bytes, int] = {}
         self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in WORD.findall(utf8(templates[n]).lower())] for n in self.names]
         self.base = len(self.vocabulary) + 1
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.selected = [0] * len(self.names)
+        #: hits that a passage of enough coverage has at least
+        self.need: list[int] = []
         for t, words in enumerate(self.words):
             grams = [self._key(words[k : k + K]) for k in range(len(words) - K + 1)]
-            for place in winnow([xxhash.xxh3_64_intdigest(g.to_bytes(16, "little")) for g in grams]):
+            hashes = [xxhash.xxh3_64_intdigest(g.to_bytes(16, "little")) for g in grams]
+            spoilt = K * int((1 - coverage) * len(words) + 1e-9)
+            for window in range(WINDOW, 0, -1):
+                places = winnow(hashes, window)
+                if len(places) > spoilt:
+                    break
+            self.need.append(max(1, len(places) - spoilt))
+            for place in places:
                 self.postings[grams[place]].append((t, place))
-                self.selected[t] += 1
         self.keys = np.array(sorted(self.postings), np.int64)
 
     def _key(self, words: list[int]) -> int:
@@ -120,12 +129,10 @@ class Index:
             by_template[t].append((place - own, own))
         for t, found in by_template.items():
             found.sort()
-            # with c of the words matched, a share of the selected grams survives: at least one, for long templates some
-            need = max(1, self.selected[t] // 8)
             group: list[tuple[int, int]] = []
             for diagonal, own in [*found, (1 << 60, 0)]:
                 if group and diagonal - group[-1][0] > BAND:
-                    if len({o for _, o in group}) >= need:
+                    if len({o for _, o in group}) >= self.need[t]:
                         yield from ((t, d) for d in sorted({d for d, _ in group}))
                     group = []
                 group.append((diagonal, own))
@@ -134,7 +141,8 @@ class Index:
 def align(template: list[int], ids: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """Best local alignment near a diagonal: (words matched, first document word, end).
 
-    A match scores 2, a mismatch or a gap -1. Cells hold (score, matches, start).
+    A match scores 4, a mismatch or a gap -1, so that one matching word at an end counts though the
+    next few were changed. Cells hold (score, matches, start).
     """
     width = 2 * band + 1
     none = (0, 0, -1)
@@ -148,7 +156,7 @@ def align(template: list[int], ids: list[int], diagonal: int, band: int = BAND)
                 continue
             same = ids[j] == word
             score, matches, start = above[b]
-            options = [(score + 2, matches + 1, start if start >= 0 else j) if same else (score - 1, matches, start)]
+            options = [(score + 4, matches + 1, start if start >= 0 else j) if same else (score - 1, matches, start)]
             if b + 1 < width:
                 options.append((above[b + 1][0] - 1, above[b + 1][1], above[b + 1][2]))
             if b:
@@ -184,7 +192,7 @@ def find(text: bytes, index: Index, coverage: float = COVERAGE) -> list[tuple[st
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, matches: license, start, end, coverage) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(Index(templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Index(templates, coverage))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value

@@ -557,6 +557,21 @@ def test_licenses(spark, odd):
     assert license_scan.scan_licenses(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_changed_words_are_found(name):
+    index = license_scan.Index({name: license_scan.TEMPLATES[name]})
+    words = license_scan.WORD.findall(license_scan.TEMPLATES[name].lower().encode())
+    most = len(words) // 5
+    rng = random.Random(name)
+    changes = [range(k, len(words), 5) for k in range(5)]
+    if most < 3:
+        changes += [rng.sample(range(len(words)), most) for _ in range(20)]
+    for places in changes:
+        text = [b"zz" if k in list(places)[:most] else w for k, w in enumerate(words)]
+        found = license_scan.find(b"ab cd " + b" ".join(text) + b" ef", index)
+        assert [(n, round(c * len(words))) for n, _, _, c in found] == [(name, len(words) - most)], places
+
+
 def test_winnowing_guarantee():
     rng = random.Random(0)
     hashes = [rng.getrandbits(64) for _ in range(200)]
