@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latora.functions.ranking import durable
 from latora.operators.similarity import _vectors
 
 SILHOUETTE_SAMPLE = 2000
-SEEDING_SAMPLE = 20_000
 
 
 @dataclass(frozen=True)
@@ -46,74 +46,118 @@ def assign(points: DataFrame, centroids: np.ndarray, id_col: str = "song_id", fe
     return points.select(F.col(id_col).cast("long"), features).mapInArrow(run, f"{id_col} long, cluster int, d2 double")
 
 
-def lloyd_step(points: DataFrame, centroids: np.ndarray, features: str = "features", id_col: str = "song_id") -> tuple[np.ndarray, float]:
-    """New centroids and the inertia to the old ones. Tasks hand on sums of k clusters, and their farthest point."""
-    k, width = centroids.shape
-    shared = points.sparkSession.sparkContext.broadcast(centroids)
+def lloyd_step(points: DataFrame, centroids: np.ndarray, features: str = "features") -> tuple[np.ndarray, float]:
+    """New centroids and the inertia to the old ones."""
+    return lloyd_steps(points, [centroids], features)[0]
+
+
+def lloyd_steps(points: DataFrame, starts: Sequence[np.ndarray], features: str = "features") -> list[tuple[np.ndarray, float]]:
+    """One step of several restarts in one pass. Tasks hand on sums of k clusters, and their farthest point, for each."""
+    k, width = starts[0].shape
+    shared = points.sparkSession.sparkContext.broadcast([np.asarray(c, float) for c in starts])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, count, inertia = np.zeros((k, width)), np.zeros(k, np.int64), np.zeros(k)
-        far, far_at = -1.0, np.zeros(width)
+        n = len(shared.value)
+        sums, count, inertia = np.zeros((n, k, width)), np.zeros((n, k), np.int64), np.zeros((n, k))
+        far, far_at = np.full(n, -1.0), np.zeros((n, width))
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _vectors(batch.column(0))
-            d = _distances(x, shared.value)
-            best = d.argmin(axis=1)
-            least = d[np.arange(len(d)), best]
-            np.add.at(sums, best, x)
-            np.add.at(count, best, 1)
-            np.add.at(inertia, best, least)
-            if least.max() > far:
-                far, far_at = float(least.max()), x[least.argmax()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(range(k)), pa.int32()), pa.array(list(sums), pa.list_(pa.float64())), pa.array(count), pa.array(inertia), pa.array([far] * k), pa.array([far_at] * k, pa.list_(pa.float64()))], names=["cluster", "sums", "n", "inertia", "far", "far_at"])
-
-    parts = points.select(features).mapInArrow(run, "cluster int, sums array<double>, n long, inertia double, far double, far_at array<double>")
+            for r, centroids in enumerate(shared.value):
+                d = _distances(x, centroids)
+                best = d.argmin(axis=1)
+                least = d[np.arange(len(d)), best]
+                np.add.at(sums[r], best, x)
+                np.add.at(count[r], best, 1)
+                np.add.at(inertia[r], best, least)
+                if least.max() > far[r]:
+                    far[r], far_at[r] = float(least.max()), x[least.argmax()]
+        restart, cluster = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
+        vectors = lambda v: pa.array(list(v), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(restart, pa.int32()), pa.array(cluster, pa.int32()), vectors(sums.reshape(-1, width)), pa.array(count.ravel()), pa.array(inertia.ravel()), pa.array(np.repeat(far, k)), vectors(np.repeat(far_at, k, axis=0))],
+            names=["restart", "cluster", "sums", "n", "inertia", "far", "far_at"],
+        )
+
+    parts = points.select(features).mapInArrow(run, "restart int, cluster int, sums array<double>, n long, inertia double, far double, far_at array<double>")
     total = F.array(*(F.sum(F.col("sums")[i]) for i in range(width)))
-    rows = parts.groupBy("cluster").agg(total.alias("sums"), F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), F.max_by("far_at", "far").alias("far_at")).collect()
-    new, inertia = centroids.copy(), 0.0
-    for r in rows:
-        inertia += r.inertia
+    rows = parts.groupBy("restart", "cluster").agg(total.alias("sums"), F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), F.max_by("far_at", "far").alias("far_at")).collect()
+    out = [(np.array(c, float), 0.0) for c in starts]
+    for r in sorted(rows, key=lambda r: (r.restart, r.cluster)):
+        new, inertia = out[r.restart]
         # a cluster without points starts again at the point farthest from its centroid
         new[r.cluster] = np.array(r.sums) / r.n if r.n else np.array(r.far_at)
-    return new, inertia
+        out[r.restart] = (new, inertia + r.inertia)
+    return out
 
 
 def kmeans(points: DataFrame, k: int, n_restarts: int = 10, max_iter: int = 300, tol: float = 1e-6, seed: int = 0, features: str = "features", id_col: str = "song_id", single_step: bool = False) -> ClusterResult:
     """Lloyd's algorithm from k-means++ seeds; of all restarts that of the least inertia.
 
-    Seeds come from a bounded sample in hash order. ``single_step`` stops each restart after
-    one step, for comparison with figures that were made so.
+    Seeds are drawn from all rows. All restarts step in the same pass over the points, which are
+    kept durably, so that a pass doesn't compute them anew. ``single_step`` stops each restart
+    after one step, for comparison with figures that were made so.
     """
+    points = durable(points.select(F.col(id_col).cast("long").alias("id"), F.col(features).alias("x")))
     n = points.count()
     if not 1 <= k <= n:
         raise ValueError(f"k must be in 1..{n}, got {k}")
-    sample = np.array([r[0] for r in points.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(max(SEEDING_SAMPLE, k)).select(features).collect()], float)
-    rng = np.random.default_rng(seed)
-    best = None
-    for _ in range(max(1, n_restarts)):
-        centroids = _plus_plus(sample, k, rng)
-        before, converged, steps = math.inf, False, 0
-        for steps in range(1, max_iter + 1):
-            centroids, inertia = lloyd_step(points, centroids, features, id_col)
-            if single_step or (math.isfinite(before) and before - inertia <= tol * before):
-                converged = True
-                break
-            before = inertia
-        final = lloyd_step(points, centroids, features, id_col)[1]
-        if best is None or final < best.inertia:
-            best = ClusterResult(centroids, final, steps, converged)
-    return best
-
-
-def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    chosen = [sample[rng.integers(len(sample))]]
-    d = _distances(sample, np.array(chosen))[:, 0]
-    while len(chosen) < k:
-        weight = d / d.sum() if d.sum() > 0 else None
-        chosen.append(sample[rng.choice(len(sample), p=weight)])
-        d = np.minimum(d, _distances(sample, np.array(chosen[-1:]))[:, 0])
-    return np.array(chosen)
+    centroids = _plus_plus(points, k, max(1, n_restarts), seed)
+    before, steps, done = [math.inf] * len(centroids), [0] * len(centroids), [False] * len(centroids)
+    for step in range(1, max_iter + 1):
+        moving = [r for r, d in enumerate(done) if not d]
+        if not moving:
+            break
+        for r, (new, inertia) in zip(moving, lloyd_steps(points, [centroids[r] for r in moving], "x")):
+            centroids[r], steps[r] = new, step
+            done[r] = single_step or (math.isfinite(before[r]) and before[r] - inertia <= tol * before[r])
+            before[r] = inertia
+    final = [inertia for _, inertia in lloyd_steps(points, centroids, "x")]
+    best = int(np.argmin(final))
+    return ClusterResult(centroids[best], final[best], steps[best], done[best])
+
+
+def _uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
+    """Numbers in (0, 1) that ids and salt alone decide, so that a task run again draws the same."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64)
+        for s in salt:
+            x = (x ^ np.uint64(s + 1)) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(29)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _plus_plus(points: DataFrame, k: int, n: int, seed: int) -> list[np.ndarray]:
+    """Centroids of ``n`` restarts, drawn from all rows in proportion to squared distance, a pass for each of the k.
+
+    The row of the least exponential noise over weight is such a draw, and a minimum needs no
+    sum of weights beforehand. Where all distances are zero the lowest id is taken.
+    """
+    chosen: list[list] = [[] for _ in range(n)]
+    for step in range(k):
+        shared = points.sparkSession.sparkContext.broadcast([np.array(c, float) for c in chosen])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, step=step) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = batch.column(0).to_numpy(), _vectors(batch.column(1))
+                rows = []
+                for r, centroids in enumerate(shared.value):
+                    d = _distances(x, centroids).min(axis=1) if step else np.ones(len(x))
+                    with np.errstate(divide="ignore"):
+                        key = np.where(d > 0, -np.log(_uniform(ids, seed, r, step)) / d, np.inf)
+                    at = np.lexsort((ids, key))[0]
+                    rows.append((r, float(key[at]), int(ids[at]), x[at].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())))], names=["restart", "key", "id", "x"])
+
+        drawn = points.mapInArrow(run, "restart int, key double, id long, x array<double>")
+        for row in drawn.groupBy("restart").agg(F.min_by("x", F.struct("key", "id")).alias("x")).collect():
+            chosen[row.restart].append(row.x)
+    return [np.array(c, float) for c in chosen]
 
 
 def silhouette(points: DataFrame, id_col: str = "song_id", label: str = "cluster", features: str = "features", max_samples: int = SILHOUETTE_SAMPLE, seed: int = 0) -> float:

@@ -12,17 +12,22 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latora.functions.ranking import top_k_by
+from latora.functions.ranking import durable, ranked_within, top_k_by
 from latora.operators import metrics
-from latora.operators.similarity import _vectors, unit_rows
+from latora.operators.similarity import _best, _vectors, unit_rows
 
 UNKNOWN_LABELS = ("", "unknown", "nan")
 METRICS = ("hit_rate", "precision", "recall", "mrr", "ndcg", "diversity", "novelty", "entropy")
 
 
+def drawn_by(col: str, seed: int) -> Column:
+    """A draw's order, which any engine with MD5 can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(col).cast("string")))
+
+
 def build_groups(catalog: DataFrame, label: str = "artist_names", seed_size: int = 3, min_group_size: int = 6, max_groups: int = 400, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(seeds, relevant), both (query_id, song_id): some members of each group, and the others.
 
@@ -30,10 +35,10 @@ def build_groups(catalog: DataFrame, label: str = "artist_names", seed_size: int
     """
     labelled = catalog.select("song_id", F.lower(F.trim(F.col(label).cast("string"))).alias("key")).filter(F.col("key").isNotNull() & ~F.col("key").isin(*UNKNOWN_LABELS))
     groups = labelled.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_group_size)
-    drawn = groups.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(max_groups)
+    drawn = groups.orderBy(drawn_by("key", seed), "key").limit(max_groups)
     # at most max_groups rows
     named = F.broadcast(drawn.withColumn("query_id", F.row_number().over(Window.orderBy("key")).cast("long") - 1))
-    placed = labelled.join(named, "key").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("song_id", F.lit(seed)), "song_id")))
+    placed = labelled.join(named, "key").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(drawn_by("song_id", seed), "song_id")))
     is_seed = F.col("r") <= F.least(F.lit(seed_size), F.col("n") - 1)
     return placed.filter(is_seed).select("query_id", "song_id"), placed.filter(~is_seed).select("query_id", "song_id")
 
@@ -95,11 +100,16 @@ class VectorRanker(Ranker):
         return top_k_by(points.join(seeds, ["query_id", "song_id"], "left_anti"), ["query_id"], n, F.desc("score"), "song_id").select("query_id", "pos", "song_id", "score")
 
 
+PRIME = 2**31 - 1
+
+
 def _noise(queries: np.ndarray, ids: np.ndarray, seed: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (ids.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (queries.astype(np.uint64)[:, None] + np.uint64(seed + 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-        return (x ^ (x >> np.uint64(31))).astype(np.float64)
+    """Squares and products modulo a prime: alike in any engine that has 64-bit integers."""
+    x = ((ids % PRIME + 1) * 48271 % PRIME)[None, :]
+    y = ((queries % PRIME + seed + 1) * 69621 % PRIME)[:, None]
+    w = (x + y) % PRIME
+    w = w * w % PRIME
+    return (w * (x * y % PRIME) % PRIME).astype(np.float64)
 
 
 def _rank_all(vectors: DataFrame, seeds: DataFrame, n: int, score, aggregation: str | None, keep_seeds: bool = False) -> DataFrame:
@@ -134,12 +144,12 @@ def _rank_all(vectors: DataFrame, seeds: DataFrame, n: int, score, aggregation:
                 s, c = np.nonzero(sid[:, None] == ids[None, :])
                 value[own[s], c] = -np.inf
             order = np.argsort(ids, kind="stable")
-            best = order[np.argsort(-value[:, order], axis=1, kind="stable")[:, :n]]
-            got = np.take_along_axis(value, best, axis=1)
-            some = np.isfinite(got)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qs, best.shape[1]).reshape(best.shape)[some]), pa.array(ids[best][some]), pa.array(got[some])], names=["query_id", "song_id", "score"])
+            row, column = _best(value[:, order], n)
+            yield pa.RecordBatch.from_arrays([pa.array(qs[row]), pa.array(ids[order][column]), pa.array(value[:, order][row, column])], names=["query_id", "song_id", "score"])
 
     scored = vectors.select(F.col("song_id").cast("long"), *columns[1:]).mapInArrow(run, "query_id long, song_id long, score double")
+    if keep_seeds:
+        return ranked_within(scored, "query_id", n, F.desc("score"), F.col("song_id")).select("query_id", "pos", "song_id", "score")
     return top_k_by(scored, ["query_id"], n, F.desc("score"), "song_id").select("query_id", "pos", "song_id", "score")
 
 
@@ -150,24 +160,25 @@ def standard_rankers(catalog: DataFrame, scaled: DataFrame, latent: dict[str, Da
 
 def evaluate(ranker: Ranker, seeds: DataFrame, relevant: DataFrame, catalog: DataFrame, shared: DataFrame, width: int, k: int = 10) -> DataFrame:
     """(system, query_id, metric, value) of one system; coverage has query_id -1."""
-    from latora.functions.ranking import durable
-
-    ranked = durable(ranker.rank(seeds, k))
-    n = catalog.count()
-    base = metrics.ranking_metrics(ranked, relevant, k)
-    wide = base.join(metrics.intra_list_diversity(ranked, shared, width, k), "query_id", "left").join(metrics.novelty(ranked, catalog, k), "query_id", "left").join(metrics.label_entropy(ranked, catalog, k=k), "query_id", "left").fillna(0.0)
-    long = wide.select("query_id", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS))).alias("x")).select("query_id", "x.metric", "x.value")
-    whole = metrics.catalog_coverage(ranked, n, k).select(F.lit(-1).cast("long").alias("query_id"), F.lit("coverage").alias("metric"), F.col("coverage").alias("value"))
-    return long.unionByName(whole).select(F.lit(ranker.name).alias("system"), "query_id", "metric", "value")
+    return compare([ranker], seeds, relevant, catalog, shared, width, k)
 
 
 def compare(rankers: Sequence[Ranker], seeds: DataFrame, relevant: DataFrame, catalog: DataFrame, shared: DataFrame, width: int, k: int = 10) -> DataFrame:
-    """The long table of all systems."""
-    out = None
+    """The long table of all systems. Their rankings are stacked, so that each metric is computed once for all."""
+    ranked = None
     for ranker in rankers:
-        part = evaluate(ranker, seeds, relevant, catalog, shared, width, k)
-        out = part if out is None else out.unionByName(part)
-    return out
+        part = ranker.rank(seeds, k).select(F.lit(ranker.name).alias("system"), "query_id", "pos", "song_id")
+        ranked = part if ranked is None else ranked.unionByName(part)
+    ranked = durable(ranked)
+    systems = F.explode(F.array(*(F.lit(r.name) for r in rankers)))
+    both = lambda df: df.withColumn("query_id", F.struct("system", "query_id"))
+    lists = both(ranked)
+    base = metrics.ranking_metrics(lists, both(relevant.withColumn("system", systems)), k)
+    wide = base.join(metrics.intra_list_diversity(lists, shared, width, k), "query_id", "left").join(metrics.novelty(lists, catalog, k), "query_id", "left").join(metrics.label_entropy(lists, catalog, k=k), "query_id", "left").fillna(0.0)
+    long = wide.select("query_id.*", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS))).alias("x")).select("system", "query_id", "x.metric", "x.value")
+    n = catalog.count()
+    shown = ranked.filter(F.col("pos") <= k).groupBy("system").agg((F.countDistinct("song_id") / max(1, n)).alias("value"))
+    return long.unionByName(shown.select("system", F.lit(-1).cast("long").alias("query_id"), F.lit("coverage").alias("metric"), "value"))
 
 
 def summary(scores: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Ranking strategies over a catalogue of latent vectors.
 
-The seeds of one request are a handful of vectors. They become literals, so that scoring the
-catalogue is one compiled projection without a join; pools, caps and ties are windows. Only
-the two strategies that choose greedily run in Python, on a pool of bounded size.
+The seeds of one request are vectors that its caller lists. Up to ``LITERAL_SEEDS`` they become
+literals, so that scoring the catalogue is one compiled projection without a join; more are a
+matrix that batches of the catalogue are multiplied with. Pools, caps and ties are windows.
+Only the two strategies that choose greedily run in Python, on a pool of bounded size.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latora.functions.ranking import ranked_within
 from latora.functions.text import artist_key
 from latora.functions.vectors import clip, dot, unit
 from latora.operators import explain as explaining
@@ -22,7 +24,7 @@ from latora.sources.catalog import with_popularity
 
 STRATEGIES = ("overall_top", "one_per_song", "centroid", "mmr")
 AGGREGATIONS = ("max", "mean", "borda")
-MAX_SEEDS = 1000
+LITERAL_SEEDS = 64
 POOL = 8
 TURN_POOL = 64
 
@@ -45,8 +47,6 @@ class Recommender:
     def vectors(self, ids: Sequence[int]) -> dict[int, tuple[list[float], list[float]]]:
         """(latent, unit) of the named songs."""
         wanted = sorted(set(ids))
-        if len(wanted) > MAX_SEEDS:
-            raise ValueError(f"more than {MAX_SEEDS} seeds")
         found = {r.song_id: (list(r.latent), list(r.unit)) for r in self.songs.filter(F.col("song_id").isin(wanted)).select("song_id", "latent", "unit").collect()}
         missing = [i for i in wanted if i not in found]
         if missing:
@@ -56,21 +56,35 @@ class Recommender:
     def similarities(self, units: Sequence[Sequence[float]]) -> list[Column]:
         return [clip(dot(F.col("unit"), u, self.width)) for u in units]
 
+    def all_similarities(self, units: Sequence[Sequence[float]]) -> Column:
+        """The similarities to every seed, in order, as one array."""
+        if len(units) <= LITERAL_SEEDS:
+            return F.array(*self.similarities(units))
+        matrix = np.array(units, float).T
+
+        @F.pandas_udf("array<double>")
+        def product(rows: pd.Series) -> pd.Series:
+            return pd.Series(list(np.clip(np.stack(rows) @ matrix, -1.0, 1.0)) if len(rows) else [], dtype=object)
+
+        return product("unit")
+
     def _aggregated(self, songs: DataFrame, units: list, method: str, name: str) -> DataFrame:
         """Songs with one score over all seeds."""
         if method not in AGGREGATIONS:
             raise ValueError(f"unknown aggregation {method!r}; expected one of {AGGREGATIONS}")
-        sims = self.similarities(units)
-        if not sims:
+        if not units:
             return songs.withColumn(name, F.lit(0.0))
         if method == "max":
-            return songs.withColumn(name, F.greatest(*sims) if len(sims) > 1 else sims[0])
+            return songs.withColumn(name, self._greatest(units))
+        if method == "mean" and len(units) > LITERAL_SEEDS:
+            return songs.withColumn(name, F.aggregate(self.all_similarities(units), F.lit(0.0), lambda a, x: a + x) / len(units))
         if method == "mean":
+            sims = self.similarities(units)
             return songs.withColumn(name, sum(sims[1:], sims[0]) / len(sims))
         n = songs.count()
-        long = songs.select("song_id", F.posexplode(F.array(*sims)).alias("seed", "sim"))
-        place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("sim"), "song_id"))
-        points = long.withColumn("points", n + 1 - place).groupBy("song_id").agg((F.sum("points") / (len(sims) * n)).alias(name))
+        long = songs.select("song_id", F.posexplode(self.all_similarities(units)).alias("seed", "sim"))
+        placed = ranked_within(long, "seed", n, F.desc("sim"), F.col("song_id"), name="place")
+        points = placed.groupBy("song_id").agg((F.sum(n + 1 - F.col("place")) / (len(units) * n)).alias(name))
         return songs.join(points, "song_id")
 
     def scored(self, seeds: Sequence[int], aggregation: str = "max", negatives: Sequence[int] = (), negative_weight: float = 0.5, novelty_weight: float = 0.0) -> DataFrame:
@@ -86,7 +100,17 @@ class Recommender:
             score = score - novelty_weight * F.col("pop")
         return songs.withColumn("score", score).withColumn("seed_id", self._nearest(seeds, units)).drop("penalty")
 
+    def _greatest(self, units: list) -> Column:
+        if len(units) > LITERAL_SEEDS:
+            return F.array_max(self.all_similarities(units))
+        sims = self.similarities(units)
+        return F.greatest(*sims) if len(sims) > 1 else sims[0]
+
     def _nearest(self, seeds: Sequence[int], units: list) -> Column:
+        if len(units) > LITERAL_SEEDS:
+            ids = F.lit([int(s) for s in seeds]).cast("array<bigint>")
+            best = F.transform(F.array(self.all_similarities(units)), lambda x: F.element_at(ids, F.array_position(x, F.array_max(x)).cast("int")))
+            return best[0]
         sims = self.similarities(units)
         if len(sims) == 1:
             return F.lit(seeds[0])
@@ -130,7 +154,7 @@ class Recommender:
 
     def _decorated(self, chosen: DataFrame, seeds: list[int], explain: bool) -> DataFrame:
         names = self.songs.filter(F.col("song_id").isin(sorted(set(seeds)))).select(F.col("song_id").alias("seed_id"), F.col("track_name").alias("seed"), F.col("latent").alias("seed_latent"))
-        out = chosen.join(F.broadcast(names), "seed_id", "left")  # at most MAX_SEEDS rows
+        out = chosen.join(F.broadcast(names), "seed_id", "left")  # no more rows than the caller's list
         columns = ["pos", "song_id", "track_name", "artist_names", "score", "seed_id", "seed"]
         if explain:
             described = [self.model.describe_component(k + 1, 2) for k in range(self.width)] if self.model else None
@@ -188,11 +212,11 @@ class Recommender:
         if novelty_weight:
             adjust = adjust - novelty_weight * F.col("pop")
         if negatives:
-            worst = self.similarities([known[s][1] for s in negatives])
-            adjust = adjust - negative_weight * (F.greatest(*worst) if len(worst) > 1 else worst[0])
+            adjust = adjust - negative_weight * self._greatest([known[s][1] for s in negatives])
         order = list(dict.fromkeys(seeds))
-        per_seed = F.array(*(F.struct(F.lit(s).cast("long").alias("seed_id"), (x + adjust).alias("score")) for s, x in zip(order, self.similarities([known[s][1] for s in order]))))
-        long = self.songs.filter(~F.col("song_id").isin(sorted(excluded))).select("song_id", "track_name", "artist_names", "artist", "latent", F.explode(per_seed).alias("x")).select("*", "x.*").drop("x")
+        ids = F.lit(order).cast("array<bigint>")
+        long = self.songs.filter(~F.col("song_id").isin(sorted(excluded))).select("song_id", "track_name", "artist_names", "artist", "latent", adjust.alias("adjust"), F.posexplode(self.all_similarities([known[s][1] for s in order])).alias("at", "sim"))
+        long = long.withColumns({"seed_id": F.element_at(ids, F.col("at") + 1), "score": F.col("sim") + F.col("adjust")}).drop("at", "sim", "adjust")
         best = long.withColumn("r", F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("score"), "song_id"))).filter(F.col("r") <= TURN_POOL + n)
         turns = [seeds[k % len(seeds)] for k in range(max(n, len(seeds)))]
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latora.functions.ranking import quantiles
+
 METHODS = ("zscore", "robust", "none")
 CONSTANT = 1e-12
 
@@ -37,8 +39,6 @@ def fit_scaler(df: DataFrame, feature_names: Sequence[str], method: str = "zscor
     for k, c in enumerate(x):
         if method == "zscore":
             stats += [F.avg(c).alias(f"c{k}"), F.stddev_pop(c).alias(f"s{k}")]
-        elif method == "robust":
-            stats.append(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}"))
     row = df.agg(*stats).first()
     if not row.n:
         raise ValueError("no rows to scale")
@@ -47,7 +47,8 @@ def fit_scaler(df: DataFrame, feature_names: Sequence[str], method: str = "zscor
     if method == "zscore":
         pairs = [(row[f"c{k}"], row[f"s{k}"]) for k in range(len(x))]
     elif method == "robust":
-        pairs = [(row[f"q{k}"][1], row[f"q{k}"][2] - row[f"q{k}"][0]) for k in range(len(x))]
+        found = quantiles(df, {f"q{k}": c for k, c in enumerate(x)}, (0.25, 0.5, 0.75))
+        pairs = [(middle, high - low) for low, middle, high in (found[f"q{k}"] for k in range(len(x)))]
     else:
         pairs = [(0.0, 1.0)] * len(x)
     scale = tuple(1.0 if abs(s) < CONSTANT else float(s) for _, s in pairs)

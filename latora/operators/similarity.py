@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,69 +26,93 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def query_blocks(queries: DataFrame, id_col: str, vector_col: str, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in blocks of bounded size, one block at the driver at a time."""
-    ids, rows = [], []
-    for r in queries.select(id_col, vector_col).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == size:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, float)
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest finite scores of each row; of equals the first columns."""
+    finite = np.isfinite(score)
+    if score.shape[1] > k > 0:
+        least = np.partition(score, -k, axis=1)[:, -k][:, None]
+        above, equal = score > least, score == least
+        room = k - above.sum(axis=1, keepdims=True)
+        finite &= above | (equal & (np.cumsum(equal, axis=1) <= room))
+    elif k <= 0:
+        finite[:] = False
+    return np.nonzero(finite)
 
 
-def query_topk(catalog: DataFrame, queries: DataFrame, k: int, id_col: str = "song_id", vector_col: str = "features", query_id: str = "query_id", exclude_self: bool = False) -> DataFrame:
+def _block_top(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of some rows for each of some queries; ids break ties, as in the final ranking."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    score = np.clip(q @ unit_rows(vectors)[order].T, -1.0, 1.0)
+    if exclude_self:
+        score[query_ids[:, None] == ids[None, :]] = -np.inf
+    row, column = _best(score, k)
+    return query_ids[row], ids[column], score[row, column]
+
+
+def query_topk(catalog: DataFrame, queries: DataFrame, k: int, id_col: str = "song_id", vector_col: str = "features", query_id: str = "query_id", exclude_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, pos): the k most similar rows to each query.
 
-    A block of queries is broadcast and multiplied with each batch of the catalogue; a batch
-    hands on its own top k for each query only.
+    Up to ``block`` queries are broadcast and multiplied with each batch of the catalogue. More
+    are dealt into blocks, and so is the catalogue; each pair of blocks meets in one task, without
+    the driver. Either way a batch or block hands on its own top k for each query only.
     """
-    out = None
-    for ids, vectors in query_blocks(queries, query_id, vector_col):
-        shared = catalog.sparkSession.sparkContext.broadcast((ids, unit_rows(vectors)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    schema = f"{query_id} long, {id_col} long, score double"
+    songs = catalog.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).alias("v"))
+    asked = queries.select(F.col(query_id).cast("long").alias(query_id), F.col(vector_col).alias("v"))
+    few = asked.limit(block + 1).collect()
+    if len(few) <= block:
+        shared = catalog.sparkSession.sparkContext.broadcast((np.array([r[0] for r in few], np.int64), unit_rows(np.array([r[1] for r in few], float)) if few else None))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, q = shared.value
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                score = np.clip(q @ unit_rows(_vectors(batch.column(1))).T, -1.0, 1.0)
-                if exclude_self:
-                    score[qid[:, None] == own[None, :]] = -np.inf
-                # scores come first and ids break ties, as in the final ranking
-                order = np.argsort(own, kind="stable")
-                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                found = np.take_along_axis(score, best, axis=1)
-                some = np.isfinite(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, best.shape[1]).reshape(best.shape)[some]), pa.array(own[best][some]), pa.array(found[some])], names=[query_id, id_col, "score"])
-
-        part = catalog.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, f"{query_id} long, {id_col} long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = catalog.sparkSession.createDataFrame([], f"{query_id} long, {id_col} long, score double")
+                if batch.num_rows and len(qid):
+                    found = _block_top(qid, q, batch.column(0).to_numpy(), _vectors(batch.column(1)), k, exclude_self)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=[query_id, id_col, "score"])
+
+        out = songs.mapInArrow(run, schema)
+    else:
+        a, b = _dealt(asked, songs, query_id, id_col, block, PAIR_BLOCK)
+
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            found = ([], [], [])
+            if len(x) and len(y):
+                found = _block_top(x.column(query_id).to_numpy(), unit_rows(_vectors(x.column("v").combine_chunks())), y.column(id_col).to_numpy(), _vectors(y.column("v").combine_chunks()), k, exclude_self)
+            return pa.table({n: pa.array(x, t) for n, x, t in zip((query_id, id_col, "score"), found, (pa.int64(), pa.int64(), pa.float64()))})
+
+        out = a.groupBy("bi", "bj").cogroup(b.groupBy("bi", "bj")).applyInArrow(meet, schema)
     return top_k_by(out, [query_id], k, F.desc("score"), id_col)
 
 
+def _dealt(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_size: int, right_size: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a block number of their own and a copy for each block of the other."""
+    n_left, n_right = max(1, -(-left.count() // left_size)), max(1, -(-right.count() // right_size))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return left.withColumn("bi", block(left_id, n_left)).withColumn("bj", each(n_right)), right.withColumn("bj", block(right_id, n_right)).withColumn("bi", each(n_left))
+
+
 def similarity_matrix(left: DataFrame, right: DataFrame, id_col: str = "song_id", vector_col: str = "features", rows_per_block: int = PAIR_BLOCK, upper: bool = False) -> DataFrame:
     """(i, j, score) of all pairs, as products of blocks. Nothing is broadcast, and a task holds two blocks.
 
-    ``upper`` keeps i < j of a table with itself.
+    ``upper`` keeps i < j of a table with itself; of two unlike blocks only one order is multiplied.
     """
-    n_left = max(1, -(-left.count() // rows_per_block))
-    n_right = max(1, -(-right.count() // rows_per_block))
-    block = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
-    a = left.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"), block(n_left).alias("bi")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    b = right.select(F.col(id_col).cast("long").alias("j"), F.col(vector_col).alias("v"), block(n_right).alias("bj")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-
-    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"i": [], "j": [], "score": []})
-        score = np.clip(unit_rows(np.stack(x.v)) @ unit_rows(np.stack(y.v)).T, -1.0, 1.0)
-        i, j = np.repeat(x.i.to_numpy(), len(y)), np.tile(y.j.to_numpy(), len(x))
-        keep = i < j if upper else slice(None)
-        return pd.DataFrame({"i": i[keep], "j": j[keep], "score": score.ravel()[keep]})
-
-    return a.groupBy("bi", "bj").cogroup(b.groupBy("bi", "bj")).applyInPandas(product, "i long, j long, score double")
+    a, b = _dealt(left.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v")), right.select(F.col(id_col).cast("long").alias("j"), F.col(vector_col).alias("v")), "i", "j", rows_per_block, rows_per_block)
+    if upper:
+        a, b = a.filter("bi <= bj"), b.filter("bi <= bj")
+
+    def product(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        i, j, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(x) and len(y):
+            own, other = x.column("i").to_numpy(), y.column("j").to_numpy()
+            score = np.clip(unit_rows(_vectors(x.column("v").combine_chunks())) @ unit_rows(_vectors(y.column("v").combine_chunks())).T, -1.0, 1.0).ravel()
+            i, j = np.repeat(own, len(other)), np.tile(other, len(own))
+            if upper and key[0].as_py() == key[1].as_py():
+                keep = i < j
+                i, j, score = i[keep], j[keep], score[keep]
+            elif upper:
+                i, j = np.minimum(i, j), np.maximum(i, j)
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "score": pa.array(score, pa.float64())})
+
+    return a.groupBy("bi", "bj").cogroup(b.groupBy("bi", "bj")).applyInArrow(product, "i long, j long, score double")

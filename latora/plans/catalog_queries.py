@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latora.functions import text
+from latora.functions.ranking import durable
 from latora.functions.vectors import total
 from latora.operators import analysis, cluster, evaluate, explain, factor, metrics, rank, similarity
 from latora.operators.model import LatentModel, fit_latent_model
@@ -196,7 +197,8 @@ def feature_summary(spark, sf_dir):
 
 
 def loadings(spark, sf_dir):
-    return analysis.loadings(spark, model_a(spark, sf_dir, 3))
+    found = analysis.loadings(spark, model_a(spark, sf_dir, 3))
+    return found.select(F.col("component").cast("long").alias("component"), F.col("place").cast("long").alias("place"), "feature", rounded("weight").alias("weight"))
 
 
 # Similarity and ranking ---------------------------------------------------------------------
@@ -348,13 +350,11 @@ def _ranked(kind):
 def eval_groups(spark, sf_dir):
     seeds, relevant = evaluate.build_groups(catalog_a(spark, sf_dir))
     both = seeds.withColumn("part", F.lit("seed")).unionByName(relevant.withColumn("part", F.lit("relevant")))
-    return both.groupBy("query_id").agg(F.count_if(F.col("part") == "seed").alias("n_seeds"), F.count("*").alias("n"))
+    return both.groupBy("query_id").agg(F.count_if(F.col("part") == "seed").alias("n_seeds"), F.sum(F.when(F.col("part") == "seed", F.col("song_id"))).alias("seed_ids"), F.count("*").alias("n"))
 
 
 @cache
 def _comparison(app, sf_dir):
-    from latora.functions.ranking import durable
-
     spark = SparkSession.active()
     songs = catalogs.with_popularity(catalog_a(spark, sf_dir))
     seeds, relevant = evaluate.build_groups(songs)
@@ -365,7 +365,8 @@ def _comparison(app, sf_dir):
 
 
 def eval_summary(spark, sf_dir):
-    return evaluate.summary(_comparison(spark.sparkContext.applicationId, sf_dir))
+    found = evaluate.summary(_comparison(spark.sparkContext.applicationId, sf_dir))
+    return found.select("system", *(rounded(c).alias(c) for c in found.columns if c != "system"))
 
 
 def bootstrap_ci(spark, sf_dir):
@@ -541,6 +542,62 @@ SELECT (SELECT count(*) FROM pr) AS n, (SELECT count(DISTINCT {a}) FROM pr) AS n
 _SEEDSQL = ", seeds AS (SELECT dense_rank() OVER (ORDER BY artist_names) - 1 AS query_id, song_id FROM cat QUALIFY row_number() OVER (PARTITION BY artist_names ORDER BY song_id) <= 3)"
 _allsim = f"{_CAT}{_SEEDSQL}, sims AS (SELECT query_id, s.song_id AS seed_id, c.song_id, {_sim} AS sim FROM seeds JOIN u s USING (song_id), u c)"
 _ranked_sql = lambda score, base=_allsim: f"{base}, sc AS ({score}), rk AS (SELECT sc.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, song_id) AS pos FROM sc ANTI JOIN seeds USING (query_id, song_id)) SELECT query_id, pos, song_id, {_r('score')} AS score FROM rk WHERE pos <= 10"
+_unit = lambda a: f"list_transform([{_join(a + '.z{k}')}], lambda x: x / {a}.nrm)"
+_MMR = f"""WITH RECURSIVE {_SIM.removeprefix("WITH ")}, scored AS ({_AGG["max"]}),
+pool AS (SELECT song_id, score, lower(trim(artist_names)) AS artist, {_unit("u")} AS v, row_number() OVER (ORDER BY score DESC, song_id) AS r FROM scored JOIN u USING (song_id) WHERE song_id NOT IN ({_IDS}) ORDER BY r LIMIT 200),
+turn AS (SELECT 0 AS step, []::BIGINT[] AS ids, []::DOUBLE[][] AS vs, []::VARCHAR[] AS artists UNION ALL
+SELECT step + 1, list_append(any_value(ids), arg_max(song_id, (value, -r))), list_append(any_value(vs), arg_max(v, (value, -r))), list_append(any_value(artists), arg_max(artist, (value, -r)))
+FROM (SELECT turn.*, pool.*, CASE WHEN step = 0 THEN score ELSE 0.7::DOUBLE * score - (1 - 0.7::DOUBLE) * list_max(list_transform(vs, lambda w: greatest(-1, least(1, list_dot_product(w, v))))) END AS value FROM turn, pool WHERE step < 10 AND NOT list_contains(ids, song_id) AND len(list_filter(artists, lambda a: a = artist)) < 2) GROUP BY step),
+final AS (SELECT unnest(ids) AS song_id, unnest(range(1, len(ids) + 1)) AS pos FROM (SELECT ids FROM turn ORDER BY step DESC LIMIT 1))
+SELECT pos, song_id, track_name, artist_names, {_r("score")} AS score, seed_id FROM final JOIN scored USING (song_id) JOIN u USING (song_id) JOIN near USING (song_id)"""
+_TURNS = f"""WITH RECURSIVE {_SIM.removeprefix("WITH ")},
+best AS (SELECT seed_id, place, song_id, lower(trim(artist_names)) AS artist, sim, row_number() OVER (PARTITION BY seed_id ORDER BY sim DESC, song_id) AS r FROM sim JOIN cat USING (song_id) WHERE place < {len(SEEDS)} AND song_id NOT IN ({_IDS}) QUALIFY r <= 74),
+turn AS (SELECT 0 AS step, []::BIGINT[] AS ids, []::VARCHAR[] AS artists UNION ALL
+SELECT step + 1, list_append(any_value(ids), arg_min(song_id, r)), list_append(any_value(artists), arg_min(artist, r))
+FROM (SELECT turn.*, best.*, row_number() OVER (ORDER BY r) AS seen FROM turn, best WHERE step < 10 AND place = step % {len(SEEDS)} AND NOT list_contains(ids, song_id)) WHERE seen <= 64 AND len(list_filter(artists, lambda a: a = artist)) < 2 GROUP BY step),
+final AS (SELECT unnest(ids) AS song_id, unnest(range(1, len(ids) + 1)) AS pos FROM (SELECT ids FROM turn ORDER BY step DESC LIMIT 1))
+SELECT pos, song_id, track_name, artist_names, {_r("sim")} AS score, seed_id FROM final JOIN best USING (song_id) JOIN cat USING (song_id) WHERE place = (pos - 1) % {len(SEEDS)}"""
+
+
+def _factors_sql(k: int) -> str:
+    """Common tables s1 to sk of (v, l): eigenvectors of the Gram matrix, the largest entry positive, and eigenvalues.
+
+    A matrix squared again and again, its trace held at one, becomes the projection on its first
+    eigenvector; what that explains is taken off for the next.
+    """
+    parts = [f"g1 AS (SELECT [{', '.join('[' + ', '.join(f'sum(z{i}*z{j})' for j in _N) + ']' for i in _N)}] AS m FROM z)"]
+    trace = f"list_sum(list_transform(range(1, {D + 1}), lambda i: m[i][i]))"
+    for c in range(1, k + 1):
+        parts.append(f"p{c} AS (SELECT 0 AS step, list_transform(m, lambda r: list_transform(r, lambda x: x / {trace})) AS m FROM g{c} UNION ALL SELECT step + 1, list_transform(m, lambda r: list_transform(r, lambda x: x / {trace})) FROM (SELECT step, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))) AS m FROM p{c} WHERE step < 50))")
+        parts.append(f"d{c} AS (SELECT m, list_transform(range(1, {D + 1}), lambda i: m[i][i]) AS d FROM p{c} WHERE step = 50)")
+        parts.append(f"e{c} AS (SELECT list_transform(m[list_position(d, list_max(d))], lambda x: x / sqrt(list_max(d))) AS v FROM d{c})")
+        parts.append(f"s{c} AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l FROM e{c}, g{c})")
+        if c < k:
+            parts.append(f"g{c + 1} AS (SELECT list_transform(range(1, {D + 1}), lambda i: list_transform(range(1, {D + 1}), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM g{c}, s{c})")
+    return f"WITH RECURSIVE {_CAT.removeprefix('WITH ')}, {', '.join(parts)}"
+
+
+_zs = f"[{_join('z{k}')}]"
+_latent_sql = lambda by="1": f"{_factors_sql(3)} SELECT song_id, {', '.join(_r(f'list_dot_product({_zs}, s{c}.v) / {by.format(c=c)}') + f' AS lf{c}' for c in (1, 2, 3))} FROM z, s1, s2, s3"
+_LOADINGS = f"{_factors_sql(3)}, w AS ({' UNION ALL '.join(f'SELECT {c} AS component, unnest(v) AS w, unnest(range(1, {D + 1})) AS f FROM s{c}' for c in (1, 2, 3))}) SELECT component, row_number() OVER (PARTITION BY component ORDER BY abs(w) DESC, f) AS place, {list(FEATURES)}[f] AS feature, {_r('w')} AS weight FROM w"
+_GROUPS = "grouped AS (SELECT *, dense_rank() OVER (ORDER BY artist) - 1 AS query_id FROM (SELECT song_id, lower(trim(artist_names)) AS artist, count(*) OVER (PARTITION BY lower(trim(artist_names))) AS n FROM cat) WHERE n >= 6 AND artist NOT IN ('', 'unknown', 'nan')), members AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY md5('0:' || song_id), song_id) <= least(3, n - 1) AS seed FROM grouped)"
+_noise_sql = f"((((x + y) % {evaluate.PRIME}) * ((x + y) % {evaluate.PRIME})) % {evaluate.PRIME} * (x * y % {evaluate.PRIME}) % {evaluate.PRIME})::DOUBLE"
+_noise_of = lambda q: f"(SELECT query_id, song_id, (song_id % {evaluate.PRIME} + 1) * 48271 % {evaluate.PRIME} AS x, (query_id % {evaluate.PRIME} + 1) * 69621 % {evaluate.PRIME} AS y FROM (SELECT DISTINCT query_id FROM {q}), cat)"
+_spaces = " UNION ALL ".join(["SELECT 'raw_cosine' AS system, song_id, " + _zs + " AS v FROM z", *(f"SELECT 'svd_k{k}', song_id, [{', '.join(f'list_dot_product({_zs}, s{c}.v)' for c in range(1, k + 1))}] FROM z, {', '.join(f's{c}' for c in range(1, k + 1))}" for k in (2, 3, D))])
+_EVALUATED = f"""{_factors_sql(D)}, {_GROUPS}, seeds AS (SELECT query_id, song_id FROM members WHERE seed), relevant AS (SELECT query_id, song_id FROM members WHERE NOT seed),
+space AS ({_spaces}), lengths AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM space),
+scores AS (SELECT a.system, query_id, b.song_id, max(greatest(-1, least(1, list_dot_product(a.v, b.v) / (a.l * b.l)))) AS score FROM seeds JOIN lengths a USING (song_id) JOIN lengths b ON a.system = b.system GROUP BY ALL
+UNION ALL SELECT 'popularity', query_id, z.song_id, pop FROM (SELECT DISTINCT query_id FROM seeds), z UNION ALL SELECT 'random', query_id, song_id, {_noise_sql} FROM {_noise_of("seeds")}),
+top AS (SELECT system, query_id, song_id, row_number() OVER (PARTITION BY system, query_id ORDER BY score DESC, song_id) AS pos FROM scores ANTI JOIN seeds USING (query_id, song_id) QUALIFY pos <= 10),
+marked AS (SELECT top.*, (relevant.song_id IS NOT NULL)::INT AS rel, sum((relevant.song_id IS NOT NULL)::INT) OVER (PARTITION BY system, query_id ORDER BY pos) AS so_far FROM top LEFT JOIN relevant USING (query_id, song_id)),
+wanted AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY 1),
+base AS (SELECT system, query_id, (sum(rel) > 0)::INT AS hit_rate, sum(rel) / 10.0 AS precision, sum(rel)::DOUBLE / any_value(n) AS recall, coalesce(1.0::DOUBLE / min(pos) FILTER (WHERE rel = 1), 0) AS mrr, sum(rel / log2(pos + 1)) / (SELECT sum(1 / log2(i + 1)) FROM (SELECT unnest(range(1, 11)) AS i) WHERE i <= any_value(n)) AS ndcg FROM marked JOIN wanted USING (query_id) GROUP BY 1, 2),
+listed AS (SELECT system, query_id, pos, {_zs} AS v, nrm, pop, lower(trim(artist_names)) AS artist FROM top JOIN u USING (song_id)),
+diverse AS (SELECT a.system, a.query_id, 1 - avg(greatest(-1, least(1, list_dot_product(a.v, b.v) / (a.nrm * b.nrm)))) AS diversity FROM listed a JOIN listed b ON a.system = b.system AND a.query_id = b.query_id AND a.pos < b.pos GROUP BY 1, 2),
+novel AS (SELECT system, query_id, avg(-log2(greatest(pop, 0.001))) AS novelty FROM listed GROUP BY 1, 2),
+mixed AS (SELECT system, query_id, -sum(c / 10.0 * log2(c / 10.0)) AS entropy FROM (SELECT system, query_id, count(*) AS c FROM listed GROUP BY system, query_id, artist) GROUP BY 1, 2),
+shown AS (SELECT system, count(DISTINCT song_id)::DOUBLE / (SELECT count(*) FROM cat) AS coverage FROM top GROUP BY 1)
+SELECT system, {", ".join(f"round(avg({m}), 6) + 0.0 AS {m}" for m in evaluate.METRICS)}, round(any_value(coverage), 6) + 0.0 AS coverage FROM base JOIN diverse USING (system, query_id) JOIN novel USING (system, query_id) JOIN mixed USING (system, query_id) JOIN shown USING (system) GROUP BY system"""
 _sigma = f"(VALUES {', '.join(f'({k + 1}, {s})' for k, s in enumerate(SIGMA))}) AS t(i, s)"
 _factor = "sqrt(2 * (b + 1) + 8 * b / (b + 1 + sqrt(b * b + 14 * b + 1)))"
 _means = ", ".join(f"avg(v[{k}]) AS m{k}" for k in range(1, WIDTH_B + 1))
@@ -575,6 +632,10 @@ ORACLE_SQL = {
     "rec_rocchio": _rec_sql(f"SELECT song_id, max(sim) FILTER (WHERE place < {len(SEEDS)}) - 0.5 * max(sim) FILTER (WHERE place >= {len(SEEDS)}) AS score FROM sim GROUP BY song_id"),
     "rec_novelty": _rec_sql(f"SELECT song_id, score - 0.1 * pop AS score FROM ({_AGG['max']}) JOIN u USING (song_id)"),
     "rec_centroid": _centroid_sql(0.0), "rec_centroid_rocchio": _centroid_sql(0.5), "rec_mmr_relevance": _rec_sql(_AGG["max"], pool=200),
+    "rec_mmr": _MMR, "rec_one_per_song": _TURNS,
+    "truncated_latent": _latent_sql(), "gram_latent": _latent_sql(), "randomized_latent": _latent_sql(), "whitened_latent": _latent_sql("sqrt(s{c}.l)"), "loadings": _LOADINGS,
+    "eval_groups": f"{_CAT}, {_GROUPS} SELECT query_id, count(*) FILTER (WHERE seed) AS n_seeds, CAST(sum(song_id) FILTER (WHERE seed) AS BIGINT) AS seed_ids, count(*) AS n FROM members GROUP BY 1",
+    "eval_summary": _EVALUATED, "rank_random": _ranked_sql(f"SELECT query_id, song_id, {_noise_sql} AS score FROM {_noise_of('seeds')}", f"{_CAT}{_SEEDSQL}"),
     "explain_components": f"{_CAT}, t AS (SELECT c.song_id, k.k AS component, CASE k.k {' '.join(f'WHEN {k} THEN c.z{k} * s.z{k}' for k in _N)} END / (c.nrm * s.nrm) AS x FROM u c, u s, (SELECT unnest(range(1, {D + 1})) AS k) k WHERE s.song_id = {SEEDS[0]}) SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY abs(x) DESC, component) AS place, component, {_r('x')} AS contribution FROM t QUALIFY place <= 3",
     "explain_score": f"{_CAT} SELECT c.song_id, {_r(_sim)} AS score FROM u c, u s WHERE s.song_id = {SEEDS[0]}",
     "title_normalize": f"SELECT id, {_TITLE('t')} AS title FROM (SELECT p_partkey AS id, p_name || ' (Live) - Remastered 2011 feat. ' || p_brand AS t FROM part UNION ALL SELECT c_custkey, '  É' || c_name || ' - Live at ü  [x] ' FROM customer)",

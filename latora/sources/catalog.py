@@ -122,14 +122,25 @@ def describe(catalog: DataFrame) -> DataFrame:
 
 
 def best_matches(catalog: DataFrame, queries: DataFrame, limit: int = 5, threshold: float = MATCH_THRESHOLD, any_script: bool = True) -> DataFrame:
-    """Ranked fuzzy matches of a small table (query_id, title, hint).
+    """Ranked fuzzy matches of a table (query_id, title, hint).
 
-    Titles are normalised once each and compared per distinct title, not per song. Matches
-    are ranked exact first, then by score, then by song_id.
+    A few queries are broadcast to the songs. More are joined by the class of their length,
+    as titles of too unlike lengths don't match, in blocks of songs. Matches are ranked exact
+    first, then by score, then by song_id.
     """
     q = queries.select("query_id", normalize_title("title", any_script).alias("q"), normalize_title("hint", any_script).alias("h")).filter("q <> ''")
     songs = catalog.select("song_id", "track_name", "artist_names", normalize_title("track_name", any_script).alias("t"), normalize_title("artist_names", any_script).alias("a")).filter("t <> ''")
-    pairs = songs.join(F.broadcast(q) if queries_fit(queries) else q, F.abs(F.length("q") - F.length("t")) <= F.greatest(F.length("q"), F.length("t")) * 0.5)
+    near = F.abs(F.length("q") - F.length("t")) <= F.greatest(F.length("q"), F.length("t")) * 0.5
+    if queries_fit(queries):
+        pairs = songs.join(F.broadcast(q), near)
+    else:
+        # the shorter is at least half the longer, so classes of doubling length differ by one at most
+        blocks = -(-catalog.count() // SONG_BLOCK) or 1
+        length_class = lambda c: F.floor(F.log2(F.length(c))).cast("int")
+        songs = songs.withColumns({"_class": length_class("t"), "_block": F.pmod(F.xxhash64("song_id"), F.lit(blocks))})
+        own = length_class("q")
+        q = q.withColumn("_class", F.explode(F.array(own - 1, own, own + 1))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = songs.join(q, ["_class", "_block"]).filter(near).drop("_class", "_block")
     base = match_score(F.col("q"), F.col("t"))
     hinted = F.when((F.col("h") == "") | (F.col("artist_names") == ""), base).when(F.contains("a", "h"), F.least(F.lit(1.0), base + 0.15)).otherwise(base - 0.05)
     scored = pairs.withColumn("exact", F.col("q") == F.col("t")).withColumn("score", hinted).filter(F.col("score") >= threshold)
@@ -138,11 +149,12 @@ def best_matches(catalog: DataFrame, queries: DataFrame, limit: int = 5, thresho
 
 
 QUERY_LIMIT = 10_000
+SONG_BLOCK = 100_000
 
 
-def queries_fit(queries: DataFrame, limit: int = QUERY_LIMIT) -> bool:
+def queries_fit(queries: DataFrame) -> bool:
     """Whether a table of queries is small enough to broadcast."""
-    return queries.limit(limit + 1).count() <= limit
+    return queries.limit(QUERY_LIMIT + 1).count() <= QUERY_LIMIT
 
 
 def split_queries(queries: DataFrame) -> DataFrame:

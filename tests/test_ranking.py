@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from latora.functions.ranking import numbered
+from latora.functions.ranking import numbered, quantiles, ranked_within
 from latora.operators import cluster, evaluate, explain, metrics, similarity
 from latora.operators.recommend import Recommender
 from latora.streaming.scoring import title_counts
@@ -27,14 +27,47 @@ def test_numbered(spark):
     assert numbered(spark.range(0), "id", "n").count() == 0
 
 
+def test_ranked_within_ranges(spark):
+    """Groups of any size: dealt by ranges, the places are those of a window."""
+    rows = spark.range(3000).select((F.col("id") % 7 % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("x"), "id").repartition(5)
+    pairs = [{(r.id, r.pos) for r in ranked_within(rows, "g", 3000, F.desc("x"), F.col("id"), in_task=limit).collect()} for limit in (10_000, 10)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 3000
+    assert ranked_within(rows.limit(0), "g", 3000, F.col("id"), in_task=10).count() == 0
+
+
+def test_quantiles_of_large_tables(spark):
+    """Narrowing gives what one aggregation gives: heavy ties, outliers, few distinct values."""
+    rng = np.random.default_rng(2)
+    x = np.stack([rng.standard_normal(40_000), np.exp(20 * rng.standard_normal(40_000)), rng.integers(0, 3, 40_000), np.where(np.arange(40_000) < 30_000, 5.0, rng.random(40_000))], axis=1)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")))
+    p = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    for limit in (1 << 20, 50):
+        got = quantiles(df, {c: F.col(c) for c in "abcd"}, p, in_task=limit)
+        for k, c in enumerate("abcd"):
+            assert np.allclose(got[c], np.quantile(x[:, k], p), rtol=1e-12)
+
+
 def test_topk_and_matrix(spark, songs):
     x, df = songs
     s = np.clip(units(x) @ units(x).T, -1, 1)
-    top = similarity.query_topk(df, df.select(F.col("song_id").alias("query_id"), "features"), 5, exclude_self=True).collect()
     want = s - 9 * np.eye(len(x))
-    assert {(r.query_id, r.pos): r.song_id for r in top} == {(q, p + 1): int(i) for q in range(len(x)) for p, i in enumerate(np.argsort(-want[q], kind="stable")[:5])}
-    pairs = similarity.similarity_matrix(df, df, rows_per_block=50, upper=True).toPandas()
-    assert len(pairs) == 120 * 119 // 2 and np.allclose(pairs.score, s[pairs.i, pairs.j])
+    for block in (200, 30):  # broadcast, and blocks that meet
+        top = similarity.query_topk(df, df.select(F.col("song_id").alias("query_id"), "features"), 5, exclude_self=True, block=block).collect()
+        assert {(r.query_id, r.pos): r.song_id for r in top} == {(q, p + 1): int(i) for q in range(len(x)) for p, i in enumerate(np.argsort(-want[q], kind="stable")[:5])}
+    for size in (50, 500):
+        pairs = similarity.similarity_matrix(df, df, rows_per_block=size, upper=True).toPandas()
+        assert len(pairs.drop_duplicates(["i", "j"])) == len(pairs) == 120 * 119 // 2 and np.allclose(pairs.score, s[pairs.i, pairs.j]) and (pairs.i < pairs.j).all()
+
+
+def test_topk_ties(spark):
+    """Of equal scores the lowest ids, in any batch order; more asked than there are."""
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in (9, 3, 7, 1, 5)], "song_id long, features array<double>")
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0])], "query_id long, features array<double>")
+    for block in (10, 1):
+        got = similarity.query_topk(df, queries, 3, block=block).orderBy("query_id", "pos").collect()
+        assert [r.song_id for r in got] == [1, 3, 5, 1, 3, 5] and [r.score for r in got] == [1.0] * 3 + [0.0] * 3
+        assert similarity.query_topk(df, queries, 9, block=block).count() == 10
+        assert similarity.query_topk(df.limit(0), queries, 3, block=block).count() == 0 and similarity.query_topk(df, queries.limit(0), 3, block=block).count() == 0
 
 
 @pytest.mark.parametrize("strategy", ["overall_top", "centroid", "mmr", "one_per_song"])
@@ -68,6 +101,19 @@ def test_strategies(songs, strategy, cap):
         assert ids == want
 
 
+def test_many_seeds(songs, monkeypatch):
+    """Seeds as a matrix score as seeds as literals do."""
+    from latora.operators import recommend
+
+    _, df = songs
+    engine = Recommender(df, width=4)
+    options = [{"strategy": s, "aggregation": a} for s, a in (("overall_top", "max"), ("overall_top", "mean"), ("overall_top", "borda"), ("one_per_song", "max"), ("centroid", "max"))]
+    run = lambda: [[(r.song_id, r.seed_id, round(r.score, 9)) for r in engine.recommend([5, 9, 2, 40], 6, negatives=[3, 4], novelty_weight=0.1, **o).orderBy("pos").collect()] for o in options]
+    literal = run()
+    monkeypatch.setattr(recommend, "LITERAL_SEEDS", 1)
+    assert run() == literal
+
+
 def test_recommend_options(songs):
     _, df = songs
     engine = Recommender(df, width=4)
@@ -133,6 +179,8 @@ def test_clusters(spark):
         cluster.kmeans(df, 0)
     one = cluster.agreement(df.withColumn("one", F.lit(1)), "one", "label").first()
     assert one.adjusted_rand == 0 and one.nmi == 0
+    same = cluster.kmeans(df.withColumn("features", F.array(F.lit(1.0), F.lit(2.0))), 3, n_restarts=2)
+    assert same.inertia == 0 and same.converged
     lonely = cluster.kmeans(df, 5, n_restarts=1, single_step=True)
     assert lonely.n_iter == 1
 
