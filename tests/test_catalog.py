@@ -77,6 +77,17 @@ def test_lookup(spark):
     assert catalogs.demo_playlist(catalog).first().text.endswith("Bob")
 
 
+def test_many_queries_match_as_few_do(spark, monkeypatch):
+    """Queries joined by length class, in blocks of songs, find what broadcast ones find."""
+    titles = ["sunrise", "sunrises", "sun rise", "a", "ab", "moon", "the long way home tonight", "long way home", "héllo"]
+    catalog = spark.createDataFrame([(k, t, f"artist {k % 3}") for k, t in enumerate(titles)], "song_id long, track_name string, artist_names string")
+    queries = spark.createDataFrame([(k, t, "artist 1" if k % 2 else "") for k, t in enumerate([*titles, "", "way home", "hello", "sunrisen"])], "query_id long, title string, hint string")
+    few = {tuple(r) for r in catalogs.best_matches(catalog, queries).collect()}
+    monkeypatch.setattr(catalogs, "QUERY_LIMIT", 2)
+    monkeypatch.setattr(catalogs, "SONG_BLOCK", 4)
+    assert {tuple(r) for r in catalogs.best_matches(catalog, queries).collect()} == few and len(few) > 12
+
+
 def test_synthetic(spark):
     frame = synthetic_frame(spark, 200, 20, seed=1)
     assert frame.count() == 290 and frame.select("genre").distinct().count() == len(GENRES)
