@@ -2,15 +2,19 @@
 
 Two bag-of-n-grams models, one of the target text and one of the raw corpus, are counts over
 ``BUCKETS`` hash buckets of words and word pairs. The log-weight of a document is the log-ratio
-of its likelihoods under the two. Its n-grams aren't independent and the fitted ratios err, so
-chance alone moves the sum by about the root of its length; the sum is therefore tempered to
-``TEMPER * log_ratio / sqrt(n)``. Sampling without replacement by these weights is a top-k of
+of its likelihoods under the two. Its n-grams aren't independent and the fitted ratios err:
+chance moves the sum by about the root of its length n, and errors of the fit that its n-grams
+share move it by n itself, the more the fewer labels there are. The sum is therefore tempered to
+``TEMPER * (log_ratio - mean * n) / sqrt(a * n + b * n * n)``, where mean, a and b are fitted to
+the held-out good documents (see below), so that these have mean 0 and variance near
+``TEMPER ** 2`` at any length. Sampling without replacement by these weights is a top-k of
 log-weight plus Gumbel noise.
 
 The target is a bounded sample of labelled good documents (``TARGET_SAMPLE``, by a hash order
 of their ids). Every other one of them fits the target model; the rest, held out, calibrate:
-k is the number of documents that weigh no less than all but ``MISSED`` of the held-out ones.
-The raw model counts every document.
+k is the number of documents that weigh no less than all but ``MISSED`` of the held-out ones,
+or than all but ``MISSED`` of a normal distribution if that is more lenient, as a few held-out
+documents tell little of their tail. The raw model counts every document.
 
 Noise comes from a hash of the id and a seed, so a retried task draws the same. The k-th key
 is found exactly by counting keys in ever finer ranges, ``DIGIT`` bits at a time; only those
@@ -26,6 +30,8 @@ are kept by ``keep_documents`` and ignored by ``select_documents``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +50,8 @@ MOST = 2.0
 SEED = 17
 TEMPER = 10.0
 MISSED = 0.002
+#: The least variance per n-gram, for held-out documents that are all alike.
+LEAST = 1e-4
 DIGIT = 12
 
 
@@ -113,8 +121,41 @@ def gumbel(*by: Column | str, seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
+class Calibration(NamedTuple):
+    """Mean of the log-ratio per n-gram, and its variance per n-gram and per square of their number."""
+
+    mean: float
+    per_gram: float
+    squared: float
+
+    def weight(self) -> Column:
+        """The tempered log-weight, of columns log_ratio and n_grams; 0 without n-grams."""
+        n = F.col("n_grams")
+        z = (F.col("log_ratio") - self.mean * n) / F.sqrt(self.per_gram * n + self.squared * n * n)
+        return F.when(n > 0, TEMPER * z).otherwise(0.0)
+
+
+def calibration(held: DataFrame) -> Calibration:
+    """Fitted by moments: the squares of centred log-ratios over n, and over n squared, have means linear in a and b."""
+    s, n = F.col("log_ratio"), F.col("n_grams")
+    r = held.filter("n_grams > 0").agg(
+        F.count("*").alias("m"), F.sum(s).alias("s"), F.sum(n).alias("n"), F.sum(s / n).alias("s1"), F.sum(1 / n).alias("n1"),
+        F.sum(s * s / n).alias("q1"), F.sum(s * s / (n * n)).alias("q2"),
+    ).first()
+    if not r.m:
+        return Calibration(0.0, 1.0, 0.0)
+    mean = r.s / r.n
+    over_n = (r.q1 - 2 * mean * r.s + mean * mean * r.n) / r.m
+    over_square = (r.q2 - 2 * mean * r.s1 + mean * mean * r.m) / r.m
+    length, inverse = r.n / r.m, r.n1 / r.m
+    spread = length * inverse - 1  # 0 if all are of one length
+    squared = (over_n * inverse - over_square) / spread if spread > 1e-9 else 0.0
+    squared = min(max(squared, 0.0), max(over_n, 0.0) / length)
+    return Calibration(mean, max(over_n - squared * length, LEAST), squared)
+
+
 def with_scores(docs: DataFrame, ratio: Broadcast, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
-    """(doc_id, text_hash, log_weight, key) of every row, with the tempered log of its likelihood ratio; and the row itself on demand."""
+    """(doc_id, text_hash, log_ratio, n_grams) of every row; and the row itself on demand."""
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")]
     if keep_row:
         columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -123,12 +164,17 @@ def with_scores(docs: DataFrame, ratio: Broadcast, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches, 1024):
             found = (buckets(utf8(t)) for t in part.column("text").to_pylist())
-            weights = [TEMPER * float(ratio.value[b].sum()) / max(1.0, len(b) ** 0.5) for b in found]
+            sums = [(float(ratio.value[b].sum()), float(len(b))) for b in found]
             kept = [c for c in part.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(weights, pa.float64())], names=[*kept, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array([x[k] for x in sums], pa.float64()) for k in (0, 1))], names=[*kept, "log_ratio", "n_grams"])
+
+    schema = "doc_id long, text_hash long" + (f", row {rows.schema['row'].dataType.simpleString()}" if keep_row else "") + ", log_ratio double, n_grams double"
+    return map_batches(rows, run, schema)
+
 
-    schema = "doc_id long, text_hash long" + (f", row {rows.schema['row'].dataType.simpleString()}" if keep_row else "") + ", log_weight double"
-    return map_batches(rows, run, schema).withColumn("key", F.col("log_weight") + gumbel("doc_id"))
+def weighed(scored: DataFrame, fit: Calibration) -> DataFrame:
+    """With log_weight, and the key that the Gumbel noise makes of it."""
+    return scored.withColumn("log_weight", fit.weight()).withColumn("key", F.col("log_weight") + gumbel("doc_id"))
 
 
 def _ordinal(x: Column) -> Column:
@@ -165,25 +211,28 @@ def _above(at: int, tie_at: int) -> Column:
     return (ordinal > at) | ((ordinal == at) & (F.col("text_hash") >= tie_at))
 
 
-def _cut(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[Broadcast, DataFrame, Column]:
-    """The fitted ratio, the scores of every row, and the condition of the top-k."""
+def _cut(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int) -> tuple[Broadcast, Calibration, DataFrame, Column]:
+    """The fitted ratio and its calibration, the weights of every row, and the condition of the top-k."""
     targets = checkpointed(target_ids(labels, sample))
     raw, target = bucket_counts(docs, targets, id_col, text_col)
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(raw, target))
     scored = checkpointed(_with_target(with_scores(docs, ratio, id_col, text_col), targets, "doc_id").drop("__target_id"))
+    fit = calibration(scored.filter("__held_out"))
+    scored = weighed(scored, fit)
     least = scored.filter("__held_out").agg(F.percentile("log_weight", F.lit(MISSED))).first()[0]
     if least is None or not ratio.value.any():
-        return ratio, scored, F.lit(True)
+        return ratio, fit, scored, F.lit(True)
+    least = min(least, TEMPER * NormalDist().inv_cdf(MISSED))
     sums = scored.agg(F.count("*").alias("n"), F.count_if(F.col("log_weight") >= least).alias("k")).first()
     if 1 <= sums.k < sums.n:
-        return ratio, scored, _above(*top_k_cut(scored, sums.k))
-    return ratio, scored, F.lit(sums.k >= sums.n)
+        return ratio, fit, scored, _above(*top_k_cut(scored, sums.k))
+    return ratio, fit, scored, F.lit(sums.k >= sums.n)
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TARGET_SAMPLE) -> DataFrame:
-    """(doc_id, text_hash, log_weight, key) of every row, and ``kept``: whether it is in the Gumbel top-k."""
-    _, scored, top = _cut(docs, labels, id_col, text_col, sample)
-    return scored.select("doc_id", "text_hash", "log_weight", "key", top.alias("kept"))
+    """(doc_id, text_hash, log_ratio, log_weight, key) of every row, and ``kept``: whether it is in the Gumbel top-k."""
+    _, _, scored, top = _cut(docs, labels, id_col, text_col, sample)
+    return scored.select("doc_id", "text_hash", "log_ratio", "log_weight", "key", top.alias("kept"))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = TARGET_SAMPLE) -> DataFrame:
@@ -191,6 +240,6 @@ def keep_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Texts are weighed again as they pass, which costs one more reading and no shuffle of texts.
     """
-    ratio, _, top = _cut(docs, labels, id_col, text_col, sample)
-    kept = with_scores(docs, ratio, id_col, text_col, keep_row=True).filter(top)
+    ratio, fit, _, top = _cut(docs, labels, id_col, text_col, sample)
+    kept = weighed(with_scores(docs, ratio, id_col, text_col, keep_row=True), fit).filter(top)
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -474,6 +474,48 @@ def test_resampling(spark, odd):
     assert everything.count() == docs.count() and quality_resample.keep_documents(odd.limit(0), labels).count() == 0
 
 
+def test_resampling_weights(spark):
+    """Log-ratios and their calibration against plain counting; few labels of real texts tell good from bad."""
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    targets = quality_resample.target_ids(labels)
+    split = {r[0]: r[1] for r in targets.collect()}
+    grams = {}
+    mask, size = (1 << 64) - 1, quality_resample.BUCKETS
+    shift = 64 - (size.bit_length() - 1)
+    for r in docs.select("doc_id", "text").collect():
+        words = [xxhash.xxh3_64_intdigest(w) for w in (r.text or "").encode().lower().split()]
+        pairs = [((a * 0x9E3779B97F4A7C15 + b) & mask) * 0xD6E8FEB86659FD93 & mask for a, b in zip(words, words[1:])]
+        grams[r.doc_id] = [h >> shift for h in words + pairs]
+    raw, target = Counter(), Counter()
+    for d, g in grams.items():
+        raw.update(g)
+        if split.get(d) is False:
+            target.update(g)
+    n_raw, n_target = sum(raw.values()) + size, sum(target.values()) + size
+    ratio = [max(-2.0, min(2.0, math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) + 0.5 / (target[b] + 1) - 0.5 / (raw[b] + 1))) for b in range(size)]
+    sums = {d: sum(ratio[b] for b in g) for d, g in grams.items()}
+    held = [d for d, out in split.items() if out and grams[d]]
+    s, n = np.array([sums[d] for d in held]), np.array([float(len(grams[d])) for d in held])
+    mean = s.sum() / n.sum()
+    c = s - mean * n
+    a, b = np.linalg.solve([[1, n.mean()], [(1 / n).mean(), 1]], [(c**2 / n).mean(), (c**2 / n**2).mean()])
+    b = min(max(b, 0.0), (c**2 / n).mean() / n.mean())
+    a = max((c**2 / n).mean() - b * n.mean(), quality_resample.LEAST)
+    found = quality_resample.select_documents(docs, labels).collect()
+    for r in found:
+        m = len(grams[r.doc_id])
+        assert r.log_ratio == pytest.approx(sums[r.doc_id], abs=1e-6)
+        assert r.log_weight == pytest.approx(quality_resample.TEMPER * (sums[r.doc_id] - mean * m) / math.sqrt(a * m + b * m * m) if m else 0.0, abs=1e-5)
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    share = lambda q: np.mean([r.kept for r in found if quality.get(r.doc_id) == q])
+    assert share(1) > 0.98 and share(0) < 0.3
+
+
 def test_top_k_is_exact(spark):
     rng = random.Random(2)
     rows = [(rng.choice([rng.gauss(0, 1e5), 1.5, -2.0]), rng.getrandbits(64) - 2**63) for _ in range(500)]
