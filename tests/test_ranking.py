@@ -162,6 +162,23 @@ def test_metrics_by_label(spark):
     assert found.filter("query_id = 0").first().recall == pytest.approx(1 / (n - 1)) and found.count() == n
 
 
+def shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_pairs_shuffle_no_copies(spark, monkeypatch):
+    """Blocks that meet are read again, not copied by a shuffle for every pair of them."""
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 64)
+    x = np.random.default_rng(1).standard_normal((1024, 32))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "song_id long, features array<double>").repartition(2)
+    before = shuffled(spark)
+    assert similarity.similarity_matrix(df, df, rows_per_block=64, upper=True).count() == 1024 * 1023 // 2
+    assert shuffled(spark) - before < 5 * x.nbytes
+    top = similarity.query_topk(df, df.select(F.col("song_id").alias("query_id"), "features"), 3, exclude_self=True, block=30)
+    want = np.argsort(-(units(x) @ units(x).T - 9 * np.eye(1024)), axis=1, kind="stable")[:, :3]
+    assert {(r.query_id, r.pos): r.song_id for r in top.collect()} == {(q, p + 1): int(want[q, p]) for q in range(1024) for p in range(3)}
+
+
 def test_evaluation(spark, songs):
     _, df = songs
     catalog = df.withColumn("pop", F.col("popularity") / 119)
