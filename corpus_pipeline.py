@@ -22,8 +22,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
-    return simhash_dedup.keep_one(docs, found=near_copies.groups(docs))
+    """One document of each group of near-duplicates.
+
+    SimHash fingerprints link within four bits, by vantage-point trees; what they miss of the pairs with
+    a similarity of 0.8 or more in five-word shingles links as well.
+    """
+    by_bits = simhash_dedup.near_duplicates(docs)
+    return simhash_dedup.keep_one(docs, found=near_copies.groups(docs, found=by_bits))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,10 +186,24 @@ def similar_links(marked: DataFrame, docs: DataFrame, text_col: str = "text") ->
     return links[0].unionByName(links[1]).unionByName(links[2])
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, root) of every row; rows of one component have one root."""
+def _links_of(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between classes whose texts are one component in ``found``, which has (text_hash, root): a star for each."""
+    members = marked.select("text_hash", "node").distinct().join(found.select("text_hash", F.col("root").alias("other")).distinct(), "text_hash").select("other", "node").distinct()
+    members = checkpointed(members)
+    least = members.groupBy("other").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    return spread_join(members, checkpointed(least), "other").filter("node <> b").select(F.col("node").alias("a"), "b")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_hash, root) of every row; rows of one component have one root.
+
+    ``found`` gives the components of another search of the same rows, as (text_hash, root); whatever they join is joined here too.
+    """
     marked = checkpointed(classes_of(docs, id_col, text_col))
-    roots = components(similar_links(marked, docs, text_col))
+    links = similar_links(marked, docs, text_col)
+    if found is not None:
+        links = links.unionByName(_links_of(marked, found))
+    roots = components(links)
     counted = marked.groupBy("node").agg(F.count("*").alias("n"))
     rooted = checkpointed(counted.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
     return spread_join(marked.select("doc_id", "text_hash", "node"), rooted, "node").select("doc_id", "text_hash", "root")

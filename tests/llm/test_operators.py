@@ -271,6 +271,17 @@ def test_crowded_near_copies(spark, monkeypatch):
     assert made[2].count() < len(texts) ** 2 / 40
 
 
+def test_pipeline_joins_equal_fingerprints(spark):
+    """Texts within four bits of SimHash are near-duplicates to the stage, though their shingle sets are less alike."""
+    import corpus_pipeline
+
+    repeated = " ".join([" ".join(f"w{k}" for k in range(11))] * 30)
+    texts = [repeated, repeated + " here are six more words only", "nothing of the kind stands in this one"]
+    a, b = (set(near_copies.shingles(t.encode()).tolist()) for t in texts[:2])
+    assert len(a & b) / len(a | b) < 0.8 and slow_fingerprint(texts[0]) == slow_fingerprint(texts[1])
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, frame(spark, texts), "").collect()) == [0, 2]
+
+
 def test_pipeline_drops_near_copies(spark):
     import corpus_pipeline
 
