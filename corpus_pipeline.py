@@ -27,8 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     SimHash fingerprints link within four bits, by vantage-point trees; what they miss of the pairs with
     a similarity of 0.8 or more in five-word shingles links as well.
     """
-    by_bits = simhash_dedup.near_duplicates(docs)
-    return simhash_dedup.keep_one(docs, found=near_copies.groups(docs, found=by_bits))
+    return simhash_dedup.keep_one(docs, found=near_copies.groups(docs, by_bits=True))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

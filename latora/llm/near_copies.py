@@ -18,8 +18,9 @@ overlapping rings work as on fingerprints:
   of neighbouring rings, by distance from the vantage point, that have a rare difference in
   common are compared. No group is compared pair by pair.
 
-Whatever links has been compared by whole shingle sets. Minima and class numbers are shuffled;
-texts are shuffled once, for the classes that have a candidate, to rebuild their shingles.
+Whatever links here has been compared by whole shingle sets. Minima and class numbers are shuffled;
+texts are shuffled once, for the classes that have a candidate, to rebuild their shingles. Links by
+SimHash fingerprints can join them (``bit_links``), and then both are one graph of classes.
 
 Defined cases: words are those of the fingerprint; fewer than five words are one shingle; texts
 without words are alike and like nothing else; an empty table gives no links.
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 
 from latora.llm.common import checkpointed, map_batches, row_slices, spread_join, utf8
 from latora.llm.components import components
+from latora.llm.simhash_dedup import fingerprint, fingerprint_links
 
 SHINGLE = 5
 #: Sets x and y have a Jaccard similarity of 4/5 or more if the number of shingles in only one of
@@ -80,17 +82,19 @@ def band_keys(found: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, node, bands) of every row; node numbers the set of shingles."""
+def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_bits: bool = False) -> DataFrame:
+    """(doc_id, text_hash, node, bands, fp) of every row; node numbers the set of shingles, fp is the SimHash fingerprint as a signed long, null without ``by_bits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in row_slices(batches):
-            sets = [shingles(utf8(t)) for t in part.column(1).to_pylist()]
+            texts = [utf8(t) for t in part.column(1).to_pylist()]
+            sets = [shingles(t) for t in texts]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), bands], names=["doc_id", "text_hash", "node", "bands"])
+            fp = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)) if by_bits else pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), bands, fp], names=["doc_id", "text_hash", "node", "bands", "fp"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)), run, "doc_id long, text_hash long, node long, bands array<long>")
+    return map_batches(docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(text_col)), run, "doc_id long, text_hash long, node long, bands array<long>, fp long")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, text_col: str) -> DataFrame:
@@ -186,23 +190,25 @@ def similar_links(marked: DataFrame, docs: DataFrame, text_col: str = "text") ->
     return links[0].unionByName(links[1]).unionByName(links[2])
 
 
-def _links_of(marked: DataFrame, found: DataFrame) -> DataFrame:
-    """Links (a, b) between classes whose texts are one component in ``found``, which has (text_hash, root): a star for each."""
-    members = marked.select("text_hash", "node").distinct().join(found.select("text_hash", F.col("root").alias("other")).distinct(), "text_hash").select("other", "node").distinct()
-    members = checkpointed(members)
-    least = members.groupBy("other").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    return spread_join(members, checkpointed(least), "other").filter("node <> b").select(F.col("node").alias("a"), "b")
+def bit_links(marked: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that join all whose SimHash fingerprints lie within its radius, by vantage-point trees; equal fingerprints are a star."""
+    pairs = checkpointed(marked.select("fp", "node").distinct())
+    least = checkpointed(pairs.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")))
+    equal = spread_join(pairs, least.filter("n > 1"), "fp").filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node")) for c in "ab")
+    near = fingerprint_links(least).join(x, "a").join(y, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return near.unionByName(equal)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_bits: bool = False) -> DataFrame:
     """(doc_id, text_hash, root) of every row; rows of one component have one root.
 
-    ``found`` gives the components of another search of the same rows, as (text_hash, root); whatever they join is joined here too.
+    With ``by_bits`` fingerprints within the radius of SimHash link as well, in the same components.
     """
-    marked = checkpointed(classes_of(docs, id_col, text_col))
+    marked = checkpointed(classes_of(docs, id_col, text_col, by_bits))
     links = similar_links(marked, docs, text_col)
-    if found is not None:
-        links = links.unionByName(_links_of(marked, found))
+    if by_bits:
+        links = links.unionByName(bit_links(marked))
     roots = components(links)
     counted = marked.groupBy("node").agg(F.count("*").alias("n"))
     rooted = checkpointed(counted.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))

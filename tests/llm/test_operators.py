@@ -5,8 +5,10 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -290,6 +292,70 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "").collect()) == [0, 2]
 
 
+def test_both_searches_are_one_graph(spark, odd):
+    """Groups by shingle sets and by fingerprints together, against brute force; some hold only by links of both kinds."""
+    rng = random.Random(31)
+    texts = []
+    for k in range(6):
+        cycle = " ".join(" ".join([f"c{k}x{j}" for j in range(11)]) for _ in range(30))
+        texts += [cycle, f"{cycle} here are six more words only", f"{cycle} here are six more words only and then a seventh"]
+        base = [f"b{rng.randrange(3000)}" for _ in range(200)]
+        texts += [" ".join(base[:at] + ["other"] + base[at + 1 :]) for at in (20, 90, 160)]
+    docs = odd.unionByName(frame(spark, texts, range(100, 100 + len(texts))))
+    rows = docs.select("doc_id", "text").collect()
+    sets, values = five_word_sets(r.text for r in rows), [slow_fingerprint(r.text) for r in rows]
+    by_set = lambda i, j: sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    by_bits = lambda i, j: bin(values[i] ^ values[j]).count("1") <= 4
+
+    def partition(*alike):
+        root = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if root[i] != root[j] and any(f(i, j) for f in alike):
+                    root = [root[j] if r == root[i] else r for r in root]
+        return root
+
+    both = partition(by_set, by_bits)
+    assert len(set(both)) < min(len(set(partition(by_set))), len(set(partition(by_bits))))
+    smallest = [min((r.doc_id for r, d in zip(rows, both) if c == d and r.doc_id is not None), default=None) for c in set(both)]
+    found = near_copies.groups(docs, by_bits=True)
+    assert len({r.root for r in found.collect()}) == len(set(both))
+    assert sorted(map(str, (r.doc_id for r in simhash_dedup.keep_one(docs, found=found).collect()))) == sorted(map(str, smallest))
+    empty = odd.limit(0)
+    assert simhash_dedup.keep_one(empty, found=near_copies.groups(empty, by_bits=True)).count() == 0
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {p.name for f in folders for p in pathlib.Path(f.getPath()).rglob("shuffle_*")}
+
+
+def test_near_dedup_frees_shuffle_files(spark):
+    """The shuffle files of what has been written to the checkpoint folder go before the stage ends."""
+    import corpus_pipeline
+
+    docs = frame(spark, [" ".join(f"v{k}x{j // (k % 3 + 1)}" for j in range(60)) for k in range(40)])
+    before = shuffle_files(spark)
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    end = time.monotonic() + 20
+    while (left := len(shuffle_files(spark) - before)) > 30 and time.monotonic() < end:
+        time.sleep(0.5)
+    assert left <= 30 and kept.count() == 40
+
+
+def test_checkpointed_frees_shuffle_files(spark):
+    from latora.llm import common
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(setting, None), shuffle_files(spark)
+    made = common.checkpointed(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.monotonic() + 20
+    while shuffle_files(spark) - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert made.count() == 7 and spark.conf.get(setting, None) == was
+
+
 @pytest.mark.parametrize("cap", [30, 1 << 20])
 def test_tree_is_exact(spark, cap):
     rng = np.random.default_rng(7)
