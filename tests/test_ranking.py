@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -179,6 +181,21 @@ def test_pairs_shuffle_no_copies(spark, monkeypatch):
     assert {(r.query_id, r.pos): r.song_id for r in top.collect()} == {(q, p + 1): int(want[q, p]) for q in range(1024) for p in range(3)}
 
 
+def test_blocks_are_kept_once(spark):
+    """On disk is one copy of the vectors, and no shuffle file that nothing reads again."""
+    x = np.random.default_rng(1).standard_normal((4096, 32))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "song_id long, features array<double>").repartition(2)
+    store = Path(spark.conf.get("spark.checkpoint.dir"))
+    size = lambda: sum(p.stat().st_size for p in store.rglob("*") if p.is_file())
+    kept, dealt = size(), shuffled(spark)
+    pairs = similarity.similarity_matrix(df, df, rows_per_block=256, upper=True)
+    # the rows of ``df`` are dealt once by this test, and once for blocks
+    assert size() - kept < 1.5 * x.nbytes and shuffled(spark) - dealt < 2.8 * x.nbytes
+    assert pairs.count() == 4096 * 4095 // 2
+    one = similarity.similarity_matrix(df.limit(1), df, rows_per_block=256).toPandas()
+    assert len(one) == 4096 and one.j.is_unique and similarity.similarity_matrix(df.limit(0), df).count() == 0
+
+
 def test_evaluation(spark, songs):
     _, df = songs
     catalog = df.withColumn("pop", F.col("popularity") / 119)
